@@ -8,9 +8,13 @@ from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, Stri
 
 from erario import fixed
 
-# Fixed patterns: what counts as a number, and the white space to strip.
+# What counts as a number, and the white space to strip (Unicode's, with
+# the four ASCII separators).
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def known(c: Column) -> Column:
@@ -37,7 +41,8 @@ def whole(c: Column, name: str) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, OUTER_SPACE, "")
+    """Strip white space of every kind, which plain ``trim`` does not (it knows the space)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def as_amount(c: Column, kind: DataType) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erario import fixed
-from erario.functions.execution import surely
+from erario.functions.execution import ratio, surely
+from erario.functions.parsing import as_amount
 from erario.functions.measures import total
 from erario.operators.filters import named_filters
 from erario.operators.quantiles import BUFFERED_ROWS, melt, quantiles
@@ -36,8 +37,17 @@ def tidy(df: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def _amounts(df: DataFrame) -> list[str]:
-    return [a for a in fixed.AMOUNTS if a in df.columns]
+def _amounts(df: DataFrame) -> dict[str, Column]:
+    """The amounts as numbers, also when the frame still holds them as text."""
+    return {
+        a: as_amount(F.col(a), df.schema[a].dataType) for a in fixed.AMOUNTS if a in df.columns
+    }
+
+
+def _executed(df: DataFrame) -> tuple[Column, Column, Column]:
+    amounts = _amounts(df)
+    mod, paid = amounts[fixed.MODIFIED], amounts[fixed.PAID]
+    return mod, paid, ratio(paid, mod)
 
 
 def shape_measures(df: DataFrame) -> list[Measure]:
@@ -55,8 +65,7 @@ def null_measures(df: DataFrame) -> list[Measure]:
 
 def amount_measures(df: DataFrame) -> list[Measure]:
     out: list[Measure] = []
-    for a in _amounts(df):
-        c = F.col(a)
+    for a, c in _amounts(df).items():
         out += [
             ("montos", a, "min", F.min(c)),
             ("montos", a, "max", F.max(c)),
@@ -67,9 +76,8 @@ def amount_measures(df: DataFrame) -> list[Measure]:
     return out
 
 
-def ratio_measures() -> list[Measure]:
-    mod, paid = F.col(fixed.MODIFIED), F.col(fixed.PAID)
-    executed = F.when(mod > 0, paid / mod)
+def ratio_measures(df: DataFrame) -> list[Measure]:
+    mod, paid, executed = _executed(df)
     counts = {
         "filas_con_modificado_positivo": mod > 0,
         "modificado_cero": mod == 0,
@@ -96,9 +104,7 @@ def quantile_rows(
     exact: bool = True,
 ) -> DataFrame:
     """Median, p95 and p99 of every amount and of the ratio where there is a base."""
-    mod, paid = F.col(fixed.MODIFIED), F.col(fixed.PAID)
-    columns = {a: F.col(a) for a in _amounts(df)}
-    columns["ratio"] = F.when(mod > 0, paid / mod)
+    columns = {**_amounts(df), "ratio": _executed(df)[2]}
     found = quantiles(
         df, columns, list(_PROBS.values()), store, buffered_rows, None if exact else 10_000
     )
@@ -186,7 +192,7 @@ def profile_raw(
 ) -> DataFrame:
     """Structure, nulls, amounts, ratio, frequencies, cardinality of typed lines."""
     parts = [
-        tidy(df, shape_measures(df) + null_measures(df) + amount_measures(df) + ratio_measures()),
+        tidy(df, shape_measures(df) + null_measures(df) + amount_measures(df) + ratio_measures(df)),
         quantile_rows(df, store, buffered_rows, exact),
         duplicate_rows(df), distinct_counts(df, exact=exact), periods(df),
     ]

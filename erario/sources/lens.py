@@ -10,14 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from erario.store import broadcast_file, spread
+
+
+def path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(path(sf_dir, name))
 
 
 def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget lines.  Orders get their customer's columns before they meet the lines, so
-    the long table is moved once per large join and never with more than it needs."""
+    the long table is moved once per large join and never with more than it needs.  A side
+    is broadcast if its file is small; otherwise both are shuffled on the key."""
+
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        return broadcast_file(rows, path(sf_dir, name))
+
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     states = nation.select(
         F.col("n_nationkey").alias("c_nationkey"),
@@ -25,11 +36,11 @@ def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("entidad_federativa"),
     )
     customers = (
-        table(spark, sf_dir, "customer").join(states, "c_nationkey")
+        table(spark, sf_dir, "customer").join(sized(states, "nation"), "c_nationkey")
         .select(F.col("c_custkey").alias("o_custkey"), "id_entidad_federativa",
                 "entidad_federativa", F.col("c_mktsegment").alias("desc_pp"))
     )
-    orders = table(spark, sf_dir, "orders").join(customers, "o_custkey").select(
+    orders = table(spark, sf_dir, "orders").join(sized(customers, "customer"), "o_custkey").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.year("o_orderdate").cast("bigint").alias("ciclo"),
         "o_orderstatus",
@@ -38,14 +49,18 @@ def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_entidad_federativa", "entidad_federativa", "desc_pp",
     )
     code = F.col("n_nationkey").cast("string")
-    units = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    units = nation.join(
+        sized(region, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(
         F.col("n_nationkey").alias("s_nationkey"),
         F.col("r_regionkey").cast("bigint").alias("id_ramo"),
         F.col("r_name").alias("desc_ramo"),
         F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("U"), code)).otherwise(code).alias("id_ur"),
         F.col("n_name").alias("desc_ur"),
     )
-    suppliers = table(spark, sf_dir, "supplier").join(units, "s_nationkey").select(
+    suppliers = table(spark, sf_dir, "supplier").join(
+        sized(units, "nation"), "s_nationkey"
+    ).select(
         F.col("s_suppkey").alias("l_suppkey"), "id_ramo", "desc_ramo", "id_ur", "desc_ur"
     )
     parts = table(spark, sf_dir, "part").select(
@@ -54,13 +69,23 @@ def lens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("desc_capitulo"),
         F.col("p_brand").alias("desc_concepto"),
     )
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+        ),
+        "l_orderkey",
+    )
     price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
     number = F.col("l_linenumber")
     exact = price.cast("decimal(12,2)")
     discounted = exact * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
     paid = exact * quantity.cast("decimal(4,0)") * F.lit("0.025").cast("decimal(4,3)")
-    joined = lines.join(orders, "l_orderkey").join(parts, "l_partkey").join(suppliers, "l_suppkey")
+    joined = (
+        lines.join(sized(orders, "orders"), "l_orderkey")
+        .join(sized(parts, "part"), "l_partkey")
+        .join(sized(suppliers, "supplier"), "l_suppkey")
+    )
     return joined.select(
         "ciclo",
         F.col("l_orderkey").alias("id_clave_cartera"),

@@ -61,6 +61,25 @@ class Store:
         return self.spark.read.parquet(self.path(name))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files under a path, without reading them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(where).getLength()
+
+
+def broadcast_file(df: DataFrame, path: str, bound: int = BROADCAST_BYTES // 8) -> DataFrame:
+    """Hint a broadcast of rows derived one for one from a stored file of bounded size
+    (compressed columns unfold to several times their size in memory)."""
+    return F.broadcast(df) if stored_bytes(df.sparkSession, path) <= bound else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a scan that has fewer tasks than there are cores; larger scans stay put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     row = F.lit(16 * (len(df.columns) + 1)).cast("long")

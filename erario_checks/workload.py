@@ -194,7 +194,7 @@ def base_queries() -> dict[str, Query]:
     q["profile_shape"] = _profile(profile.shape_measures)
     q["profile_nulls"] = _profile(profile.null_measures)
     q["profile_amounts"] = _profile(profile.amount_measures)
-    q["profile_ratio"] = _profile(lambda df: profile.ratio_measures())
+    q["profile_ratio"] = _profile(profile.ratio_measures)
     q["profile_flags"] = _profile(lambda df: profile.flag_measures())
     q["profile_quantiles"] = on_clean(lambda df: rounded(profile.quantile_rows(df), "value"))
     q["profile_quantiles_ranked"] = on_clean(
