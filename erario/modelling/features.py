@@ -193,19 +193,19 @@ def apply(df: DataFrame, prep: Preparation, rare: DataFrame | None) -> DataFrame
     filled = {t.name: F.coalesce(F.col(t.name).cast("string"), F.lit(t.mode)) for t in prep.texts}
     df = df.withColumns({f"txt_{n}": c for n, c in filled.items()})
     for t in prep.texts:
-        if not t.pooled:
-            continue
         text = F.col(f"txt_{t.name}")
         own = text.isin(*t.levels)
         if rare is None:
-            level = F.when(own, text).otherwise(F.lit(POOLED))
-        else:
+            level = F.when(own, text).otherwise(F.lit(POOLED)) if t.pooled else text
+        elif t.pooled:
             known = rare.filter(F.col("name") == t.name).select(F.col("value").alias("__rare"))
             df = df.join(known, ~own & (text == F.col("__rare")), "left")
             level = (
                 F.when(own, text).when(F.col("__rare").isNotNull(), F.lit(POOLED))
                 .otherwise(F.lit(_UNSEEN))
             )
+        else:
+            level = F.when(own, text).otherwise(F.lit(_UNSEEN))
         df = df.withColumn(f"txt_{t.name}", level).drop("__rare")
     return df.select(*[F.col(c) for c in kept], *standardised(prep.numbers), *[f"txt_{t.name}" for t in prep.texts])
 

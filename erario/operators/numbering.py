@@ -100,7 +100,8 @@ def hash_cuts(
 
     Two passes over the key columns: counts per hash bucket find the bucket of each rank,
     then only the rows of those buckets (a 65,536th each) are ranked.  No row is moved to
-    split a frame afterwards; the split is a filter.  ``keys`` must identify a row."""
+    split a frame afterwards; the split is a filter.  ``keys`` must identify a row: rows of
+    one hash fall on the same side."""
     hashed = df.select(
         (label if label is not None else F.lit("all")).alias("label"), row_hash(keys, seed).alias("h")
     )
@@ -124,23 +125,28 @@ def hash_cuts(
     near = F.lit(False)
     for cls, bucket in start:
         near = near | (F.col("label").eqNullSafe(F.lit(cls)) & (F.col("bucket") == bucket))
-    ranked = bucketed.filter(near).select(
-        "*", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("h")).alias("pos")
+    # Equal hashes are counted together first: copies of a row cannot pile up in a task.
+    within = Window.partitionBy("label", "bucket").orderBy("h")
+    ranked = (
+        bucketed.filter(near).groupBy("label", "bucket", "h").count()
+        .select("*", F.sum("count").over(within).alias("last"))
     )
     hit = F.lit(False)
-    where: dict[tuple, list[int]] = {}
+    where: dict[tuple, int] = {}
     for r in found:
         key = (r["label"], r["bucket"])
         for rank in ranks[r["label"]]:
             if start[key] < rank <= r["last"]:
-                where.setdefault(key + (rank - start[key],), []).append(rank)
-    for cls, bucket, pos in where:
-        hit = hit | (
-            F.col("label").eqNullSafe(F.lit(cls)) & (F.col("bucket") == bucket)
-            & (F.col("pos") == pos)
-        )
-    return [
-        Cut(r["label"], rank, r["h"])
-        for r in ranked.filter(hit).collect()
-        for rank in where[(r["label"], r["bucket"], r["pos"])]
-    ]
+                place = rank - start[key]
+                where[(*key, place)] = rank
+                hit = hit | (
+                    F.col("label").eqNullSafe(F.lit(key[0])) & (F.col("bucket") == key[1])
+                    & (F.col("last") >= place) & (F.col("last") - F.col("count") < place)
+                )
+    cuts = []
+    for r in ranked.filter(hit).collect():  # at most one row per class and rank
+        for (cls, bucket, place), rank in where.items():
+            inside = r["last"] - r["count"] < place <= r["last"]
+            if (cls, bucket) == (r["label"], r["bucket"]) and inside:
+                cuts.append(Cut(cls, rank, r["h"]))
+    return cuts
