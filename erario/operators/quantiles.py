@@ -1,18 +1,27 @@
-"""Exact interpolated quantiles at any size."""
+"""Exact interpolated quantiles at any size.
+
+``percentile`` keeps every distinct value of a column in one buffer, so it serves small
+frames only.  Beyond that, each quantile is narrowed down: a sample proposes a bracket around
+its rank, one pass of counts proves the bracket right, and the rows inside are few enough to
+be ordered.  The sample decides how fast the answer comes, never what it is.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil, floor, sqrt
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from erario.operators.numbering import running_totals
 from erario.store import Store
 
-# ``percentile`` keeps every distinct value of a column in one buffer; beyond this many
-# rows the values are ranked by a range exchange instead.
-BUFFERED_ROWS = 4_000_000
+BUFFERED_ROWS = 100_000
+_SAMPLE = 20_000  # rows drawn per quantile and round; a round keeps about a thirtieth
+_ROUNDS = 8
+_DEVIATIONS = 5  # half-width of a bracket, in standard deviations of the sample's rank
 
 
 def melt(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -21,6 +30,27 @@ def melt(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
+@dataclass
+class _Target:
+    """One wanted quantile: its two neighbouring ranks and the values they lie between."""
+
+    name: str
+    prob: float
+    low: int
+    high: int
+    part: float
+    inside: int
+    below: int = 0
+    lo: float | None = None
+    hi: float | None = None
+    settled: bool = False
+
+    def within(self, c: Column, lo: float | None, hi: float | None) -> Column:
+        test = c.isNotNull()
+        test = test if lo is None else test & (c >= F.lit(lo))
+        return test if hi is None else test & (c <= F.lit(hi))
+
+
 def quantiles(
     df: DataFrame,
     columns: dict[str, Column],
@@ -33,7 +63,7 @@ def quantiles(
 
     ``accuracy`` asks for ``percentile_approx`` instead: one pass, not interpolated."""
     if accuracy is None and df.count() > buffered_rows:
-        return _ranked(df, columns, probs, store or Store(df.sparkSession))
+        return _narrowed(df, columns, probs, store or Store(df.sparkSession), max(buffered_rows, 1))
 
     def one(c: Column) -> Column:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
@@ -52,40 +82,103 @@ def quantiles(
     return row.select(F.inline(F.array(*cells)))
 
 
-def _ranked(df: DataFrame, columns: dict[str, Column], probs: Sequence[float], store: Store):
-    """Count equal values, order the counts by range partitioning, and read off the values
-    at the two ranks around each target."""
-    counts = (
-        melt(df, {n: c.cast("double") for n, c in columns.items()})
-        .filter(F.col("value").isNotNull())
-        .groupBy("name", "value").agg(F.count("*").alias("n"))
-    )
-    running = running_totals(counts, ["name", "value"], {"n": "upto"}, store)
-    sizes = running.groupBy("name").agg(
-        F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("start")
-    )  # a row per column
-    placed = running.join(F.broadcast(sizes), "name").withColumn(
-        "last", F.col("upto") - F.col("start")
-    )
-
-    def rank(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("size") - 1)
-
-    at = []
-    for i, p in enumerate(probs):
-        low, high = F.floor(rank(p)), F.ceil(rank(p))
-        at.append(F.min(F.when(F.col("last") > low, F.col("value"))).alias(f"low{i}"))
-        at.append(F.min(F.when(F.col("last") > high, F.col("value"))).alias(f"high{i}"))
-    picked = placed.groupBy("name", "size").agg(*at)
-    cells = []
-    for i, p in enumerate(probs):
-        part = rank(p) - F.floor(rank(p))
-        between = F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * part
-        cells.append(F.struct(F.lit(float(p)).alias("prob"), between.alias("value")))
-    found = picked.select("name", F.inline(F.array(*cells)))
-    asked = [
-        F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("prob"))
-        for n in columns for p in probs
+def _narrowed(
+    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], store: Store, bound: int
+) -> DataFrame:
+    values = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    sizes = values.agg(*[F.count(n).alias(n) for n in columns]).first()
+    targets = [
+        _Target(n, float(p), floor(at), ceil(at), at - floor(at), sizes[n])
+        for n in columns if sizes[n] > 0
+        for p in probs
+        for at in [float(p) * (sizes[n] - 1)]
     ]
-    wanted = df.sparkSession.range(1).select(F.inline(F.array(*asked)))
-    return F.broadcast(wanted).join(found, ["name", "prob"], "left")
+    for seed in range(_ROUNDS):
+        wide = [t for t in targets if t.inside > bound and not t.settled]
+        if not wide:
+            break
+        _narrow(values, wide, min(bound, _SAMPLE), seed)
+    found = _picked(values, targets, store, bound) if targets else {}
+    cells = [
+        F.struct(
+            F.lit(n).alias("name"), F.lit(float(p)).alias("prob"),
+            F.lit(found.get((n, float(p)))).cast("double").alias("value"),
+        )
+        for n in columns
+        for p in probs
+    ]
+    return df.sparkSession.range(1).select(F.inline(F.array(*cells)))
+
+
+def _narrow(values: DataFrame, targets: list[_Target], sample: int, seed: int) -> None:
+    """Propose a tighter bracket for every target from a sample of its bracket, and take it
+    if the counts show both ranks inside."""
+    rate = {id(t): min(1.0, sample / t.inside) for t in targets}
+    drawn = values.select("*", F.rand(seed).alias("__r")).filter(F.col("__r") < max(rate.values()))
+    asks = []
+    for i, t in enumerate(targets):
+        share = min(1.0, max(0.0, (t.low + t.high + 1) / 2 - t.below) / t.inside)
+        size = t.inside * rate[id(t)]
+        reach = _DEVIATIONS * (sqrt(share * (1 - share) / size) + 1 / size)
+        asked = F.array(F.lit(max(0.0, share - reach)), F.lit(min(1.0, share + reach)))
+        chosen = t.within(F.col(t.name), t.lo, t.hi) & (F.col("__r") < rate[id(t)])
+        asks.append(F.percentile(F.when(chosen, F.col(t.name)), asked).alias(f"b{i}"))
+    brackets = drawn.agg(*asks).first()
+
+    proposed, counts = [], []
+    for i, t in enumerate(targets):
+        lo, hi = brackets[f"b{i}"] or (None, None)
+        c = F.col(t.name)
+        # The ends of the data stay open: the sample need not hold them.
+        lo = t.lo if t.low - t.below < _DEVIATIONS or lo is None else lo
+        hi = t.hi if t.below + t.inside - t.high <= _DEVIATIONS or hi is None else hi
+        proposed.append((lo, hi))
+        counts.append(F.count_if(c < F.lit(lo) if lo is not None else F.lit(False)).alias(f"under{i}"))
+        counts.append(F.count_if(t.within(c, lo, hi)).alias(f"inside{i}"))
+    row = values.agg(*counts).first()
+    for i, t in enumerate(targets):
+        below, inside = row[f"under{i}"], row[f"inside{i}"]
+        holds = below <= t.low and t.high < below + inside
+        # A bracket that hardly shrinks is full of equal values, which count as one row.
+        t.settled = not holds or 2 * inside > t.inside
+        if holds and inside <= t.inside:
+            (t.lo, t.hi), t.below, t.inside = proposed[i], below, inside
+
+
+def _picked(values: DataFrame, targets: list[_Target], store: Store, bound: int) -> dict:
+    """The interpolated value of every target, from the counted values in its bracket."""
+    cells = [
+        F.when(
+            t.within(F.col(t.name), t.lo, t.hi),
+            F.struct(F.lit(i).alias("target"), F.col(t.name).alias("value")),
+        )
+        for i, t in enumerate(targets)
+    ]
+    inside = values.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    counted = inside.groupBy(F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
+        F.count("*").alias("n")
+    )
+    # Rank of a value = rows below the bracket + rows up to it inside.
+    offsets = [t.below for t in targets]
+    if all(t.inside <= bound for t in targets):
+        along = Window.partitionBy("target").orderBy("value")  # at most the bound per target
+        running = counted.withColumn("upto", F.sum("n").over(along))
+    else:
+        running = running_totals(counted, ["target", "value"], {"n": "upto"}, store)
+        # These totals run on from one target to the next.
+        offsets = [o - sum(t.inside for t in targets[:i]) for i, o in enumerate(offsets)]
+    by_target = F.array(*[F.lit(o).cast("long") for o in offsets])
+    placed = running.withColumn("last", F.col("upto") + F.element_at(by_target, F.col("target") + 1))
+    rank = {
+        side: F.element_at(F.array(*[F.lit(getattr(t, side)).cast("long") for t in targets]),
+                           F.col("target") + 1)
+        for side in ("low", "high")
+    }
+    rows = placed.groupBy("target").agg(*[
+        F.min(F.when(F.col("last") > rank[side], F.col("value"))).alias(side) for side in rank
+    ]).collect()  # a row per quantile
+    return {
+        (targets[r["target"]].name, targets[r["target"]].prob):
+        r["low"] + (r["high"] - r["low"]) * targets[r["target"]].part
+        for r in rows
+    }

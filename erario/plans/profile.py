@@ -119,10 +119,23 @@ def quantile_rows(
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows."""
-    copies = df.groupBy(*df.columns).count()
-    value = F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("double").alias("value")
+def duplicate_rows(
+    df: DataFrame, store: Store | None = None, broadcast_hashes: int = 4_000_000
+) -> DataFrame:
+    """Rows beyond the first of each set of equal rows.
+
+    Equal rows have equal hashes, so only rows whose hash occurs again are compared in full.
+    Hashes are counted first (eight bytes a row to shuffle); if few repeat, their rows are
+    picked by a broadcast, and if many do, all rows are grouped."""
+    store = store or Store(df.sparkSession)
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in df.columns]))
+    repeated = store.save(
+        hashed.groupBy("__h").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("__h")
+    )
+    if repeated.count() <= broadcast_hashes:
+        hashed = hashed.join(F.broadcast(repeated), "__h", "left_semi")
+    copies = hashed.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    value = F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("double").alias("value")
     return copies.agg(value).select(
         F.lit("forma").alias("section"), F.lit("").alias("column"),
         F.lit("duplicados_exactos").alias("metric"), "value",
@@ -194,7 +207,7 @@ def profile_raw(
     parts = [
         tidy(df, shape_measures(df) + null_measures(df) + amount_measures(df) + ratio_measures(df)),
         quantile_rows(df, store, buffered_rows, exact),
-        duplicate_rows(df), distinct_counts(df, exact=exact), periods(df),
+        duplicate_rows(df, store), distinct_counts(df, exact=exact), periods(df),
     ]
     for column, top in (("tipo_gasto", None), ("desc_tipogasto", 10)):
         if column in df.columns:

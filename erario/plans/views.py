@@ -182,13 +182,15 @@ def star(wh: Warehouse, columns: list[str] | None = None, fact: DataFrame | None
     return rows.select(*wanted)
 
 
-def modelling_star(wh: Warehouse) -> DataFrame:
-    """Rows fit for modelling: base above zero, valid, programmable; all columns."""
+def modelling_star(wh: Warehouse, columns: list[str] | None = None) -> DataFrame:
+    """Rows fit for modelling: base above zero, valid, programmable; all columns, or some."""
     fit = wh.fact.filter(
         (F.col(fixed.MODIFIED) > 0)
         & F.col("flag_registro_valido")
         & (F.col("tipo_gasto") == fixed.PROGRAMMABLE)
     )
+    if columns is not None:
+        return star(wh, columns, fit)
     cube = star_columns(wh)
     extra = [c for c in (*wh.spec.sks, "log1p_monto_pagado") if c in fit.columns]
     return star(wh, cube + extra, fit)

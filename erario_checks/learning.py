@@ -57,7 +57,9 @@ class Models:
 
 
 def _modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modelling_star(Stage.of(spark, sf_dir).warehouse)
+    """Key and class of the modelling rows."""
+    columns = [fixed.FACT_KEY, fixed.CLASSIFICATION_TARGET]
+    return modelling_star(Stage.of(spark, sf_dir).warehouse, columns)
 
 
 def _standardise(df: DataFrame) -> DataFrame:

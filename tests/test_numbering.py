@@ -48,7 +48,7 @@ def test_running_totals(spark, store):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("buffered", [0, 10**6])
+@pytest.mark.parametrize("buffered", [0, 300, 10**6])
 def test_quantiles_equal_numpy(spark, store, buffered):
     df = skewed(spark)
     probs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
@@ -63,6 +63,30 @@ def test_quantiles_equal_numpy(spark, store, buffered):
     assert len(got) == 12
 
 
+def test_quantiles_narrow_many_rows(spark, store):
+    """Three rounds at a bound of 200, on values from evenly spread to a third equal."""
+    df = spark.range(0, 40000, 1, 6).select(
+        (F.pmod(F.hash("id"), F.lit(100003)) / 7).alias("spread"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.pmod(F.hash("id"), F.lit(11)).cast("double")).alias("hot"),
+        F.lit(2.5).alias("same"), (-F.col("id") ** 3).alias("tail"))
+    probs = [0.0, 0.001, 0.5, 0.66, 0.999, 1.0]
+    got = {(r["name"], r["prob"]): r["value"]
+           for r in quantiles(df, {c: F.col(c) for c in df.columns}, probs, store, 200).collect()}
+    data = df.toPandas()
+    for c in df.columns:
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(data[c], p), rel=1e-12, abs=1e-9)
+
+
+def test_a_misleading_sample_cannot_change_a_quantile(spark, store, monkeypatch):
+    import erario.operators.quantiles as q
+
+    monkeypatch.setattr(q, "_DEVIATIONS", 0)
+    df = spark.range(0, 5000, 1, 3).select(F.pmod(F.hash("id"), F.lit(999)).cast("double").alias("v"))
+    got = [r["value"] for r in quantiles(df, {"v": F.col("v")}, [0.1, 0.5, 0.9], store, 50).collect()]
+    assert got == pytest.approx(list(np.quantile(df.toPandas()["v"], [0.1, 0.5, 0.9])))
+
+
 def test_approximate_quantiles(spark, store):
     row = quantiles(skewed(spark), {"v": F.col("v")}, [0.5], store, accuracy=1000).first()
     assert 0 <= row["value"] <= 997
@@ -84,9 +108,20 @@ def test_hash_cuts_of_copies(spark):
     assert df.filter(row_hash(["k"], 1) <= cut.hash).count() >= 500
 
 
-def test_duplicates_of_a_hot_row(spark):
-    df = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"))
-    assert duplicate_rows(df).first()["value"] == 299
+@pytest.mark.parametrize("broadcast_hashes", [0, 1000])
+def test_duplicates_of_a_hot_row(spark, store, broadcast_hashes):
+    df = spark.range(900).select(
+        F.when(F.col("id") < 300, None).otherwise(F.col("id") % 590).alias("k"), F.lit("x").alias("t"))
+    rows = [tuple(r) for r in df.collect()]
+    got = duplicate_rows(df, store, broadcast_hashes).first()["value"]
+    assert got == len(rows) - len(set(rows)) > 299
+
+
+def test_hash_twins_are_not_duplicates(spark, store):
+    """A null is skipped by the hash, so these two rows share one."""
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert df.select(F.xxhash64("x", "y")).distinct().count() == 1
+    assert duplicate_rows(df, store).first()["value"] == 0
 
 
 def test_histogram_edges(spark):
