@@ -7,13 +7,26 @@ from pyspark.sql import functions as F
 
 from erario import fixed
 
-# Money is added as exact decimals, so a total does not depend on the order in which
-# partitions arrive; it is handed out as a double like the amounts themselves.
-EXACT = "decimal(24,6)"
+# Money is added as whole units and millionths, two exact integer sums, so a total does not
+# depend on the order in which partitions arrive.  The parts are joined once per group.
+_MILLIONTH = "0.000001"
+_INTEGER = "decimal(20,0)"
+
+
+def split_total(c: Column) -> tuple[Column, Column]:
+    """Sums of the whole units and of the millionths of a double column."""
+    units = F.floor(c)
+    return F.sum(units), F.sum(F.rint((c - units) * 1e6).cast("bigint"))
+
+
+def joined(units: Column, millionths: Column) -> Column:
+    """A total from its two sums, rounded to a double once."""
+    exact = units.cast(_INTEGER) + millionths.cast(_INTEGER) * F.lit(_MILLIONTH).cast("decimal(6,6)")
+    return exact.cast("double")
 
 
 def total(c: Column) -> Column:
-    return F.sum(c.cast(EXACT))
+    return joined(*split_total(c))
 
 
 def positive(c: Column) -> Column:

@@ -9,6 +9,7 @@ be ordered.  The sample decides how fast the answer comes, never what it is.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, floor, sqrt
 from typing import Sequence
 
@@ -147,14 +148,14 @@ def _narrow(values: DataFrame, targets: list[_Target], sample: int, seed: int) -
 
 def _picked(values: DataFrame, targets: list[_Target], store: Store, bound: int) -> dict:
     """The interpolated value of every target, from the counted values in its bracket."""
+    hits = [t.within(F.col(t.name), t.lo, t.hi) for t in targets]
     cells = [
-        F.when(
-            t.within(F.col(t.name), t.lo, t.hi),
-            F.struct(F.lit(i).alias("target"), F.col(t.name).alias("value")),
-        )
-        for i, t in enumerate(targets)
+        F.when(hit, F.struct(F.lit(i).alias("target"), F.col(t.name).alias("value")))
+        for i, (t, hit) in enumerate(zip(targets, hits))
     ]
-    inside = values.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    # Most rows are in no bracket and are dropped before any is unfolded.
+    near = values.filter(reduce(lambda a, b: a | b, hits))
+    inside = near.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
     counted = inside.groupBy(F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
         F.count("*").alias("n")
     )

@@ -69,7 +69,7 @@ def amount_measures(df: DataFrame) -> list[Measure]:
         out += [
             ("montos", a, "min", F.min(c)),
             ("montos", a, "max", F.max(c)),
-            ("montos", a, "media", F.when(F.count(c) > 0, total(c).cast("double") / F.count(c))),
+            ("montos", a, "media", F.when(F.count(c) > 0, total(c) / F.count(c))),
             ("montos", a, "negativos", F.count_if(c < 0)),
             ("montos", a, "nulos", F.count_if(c.isNull())),
         ]

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erario import fixed
-from erario.functions.measures import mean_ratio, positive, tally, total
+from erario.functions.execution import ratio
+from erario.functions.measures import joined, mean_ratio, positive, split_total, tally
 from erario.operators.filters import equalities
 from erario.plans.star import Warehouse
 
@@ -65,35 +66,38 @@ VIEWS = {
 }
 
 
-def _partials(measures: tuple[str, ...]) -> dict[str, tuple[Column, ...]]:
-    """Sums that add up when groups are merged."""
+def _partials(measures: tuple[str, ...]) -> dict[str, Column]:
+    """Sums that add up when groups are merged; an amount has two."""
     need = {"n_registros": F.count("*")}
+
+    def money(name: str, c: Column) -> None:
+        need[f"__units_{name}"], need[f"__rest_{name}"] = split_total(c)
+
     for m in measures:
         if m in fixed.AMOUNTS:
-            need[m] = total(F.col(m))
+            money(m, F.col(m))
         elif m in _COUNTS:
             need[m] = tally(F.col(_COUNTS[m]))
         elif m == _MEAN:
             need["__ratio_sum"], need["__ratio_n"] = mean_ratio()
     if _WEIGHTED in measures or _BASE in measures:
-        need.setdefault(fixed.PAID, total(F.col(fixed.PAID)))
-        need["__base"] = total(positive(F.col(fixed.MODIFIED)))
+        money(fixed.PAID, F.col(fixed.PAID))
+        money(_BASE, positive(F.col(fixed.MODIFIED)))
     return need
 
 
 def _finished(measures: tuple[str, ...]) -> list[Column]:
+    def money(name: str) -> Column:
+        return joined(F.col(f"__units_{name}"), F.col(f"__rest_{name}"))
+
     out = [F.col("n_registros")]
     for m in measures:
-        if m in fixed.AMOUNTS:
-            out.append(F.col(m).cast("double").alias(m))
-        elif m == _BASE:
-            out.append(F.col("__base").cast("double").alias(m))
+        if m in fixed.AMOUNTS or m == _BASE:
+            out.append(money(m).alias(m))
         elif m == _WEIGHTED:
-            base = F.col("__base").cast("double")
-            out.append(F.when(base > 0, F.col(fixed.PAID).cast("double") / base).alias(m))
+            out.append(ratio(money(fixed.PAID), money(_BASE)).alias(m))
         elif m == _MEAN:
-            mean = F.when(F.col("__ratio_n") > 0, F.col("__ratio_sum") / F.col("__ratio_n"))
-            out.append(mean.alias(m))
+            out.append(ratio(F.col("__ratio_sum"), F.col("__ratio_n")).alias(m))
         else:
             out.append(F.col(m))
     return out
