@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from typing import Sequence
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
