@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from . import mixing, prefix_bpe, token_files
+from . import bitsliced, metric_join, mixing, prefix_bpe, token_files
 from .common import read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,13 +36,54 @@ def prefix_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip_digest(decoded)
 
 
+def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(read_table(spark, sf_dir, "embeddings"), Store(spark), cosine=0.9)
+
+
+def bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False))
+    return bitsliced.top_k(read_table(spark, sf_dir, "embeddings"), Store(spark), asked, k=20)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": token_output,
         "op4_source_weights": source_weights,
+        "op6_metric_join": metric_range_join,
         "op9_prefix_bpe": prefix_bpe_round_trip,
+        "op10_bitsliced_top_k": bitsliced_top_k,
     }
 
 
 def llm_oracle() -> dict[str, str]:
-    return {}
+    return {"op6_metric_join": METRIC_JOIN_SQL, "op10_bitsliced_top_k": TOP_K_SQL}
+
+
+METRIC_JOIN_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS (
+  SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(x, lambda e: e <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  AND list_cosine_similarity(a.x, b.x) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, component_id,
+  v.vec_id = component_id AS kept FROM v JOIN least ON least.a = v.vec_id
+"""
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: floor(64 * e)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
