@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import Memory, text_or_empty
 
@@ -38,12 +37,17 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         lines = [line.split() for line in open(path, "rb") if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in lines}
-        self.token = {r: t for t, r in self.rank.items()}
-        #: By its last bytes (at most three), the length of the longest token that ends so.
-        self.reach: dict[bytes, int] = {}
+        self.token: list[bytes | None] = [None] * (1 + max(self.rank.values()))
+        for t, r in self.rank.items():
+            self.token[r] = t
+        self.digits = [str(r) for r in range(len(self.token))]
+        #: By the last bytes of a prefix (at most four), the lengths of the tokens that may end it.
+        self.lengths: dict[bytes, tuple[int, ...]] = {}
         for t in self.rank:
-            for n in range(1, min(len(t), 3) + 1):
-                self.reach[t[-n:]] = max(len(t), self.reach.get(t[-n:], 0))
+            if len(t) > 4:
+                self.lengths[t[-4:]] = (*self.lengths.get(t[-4:], ()), len(t))
+        for end, long in self.lengths.items():
+            self.lengths[end] = tuple(sorted(set(long), reverse=True)) + self._short(end)
         self.pieces = regex.compile(pattern).findall
         #: The two tokens that each longer token is merged from; None if merging never makes it.
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -53,6 +57,9 @@ class Codec:
                 self.halves[r] = self._halves(t, r)
         self.plain, self.spaced = Memory(CACHED_PIECES), Memory(CACHED_PIECES)
 
+    def _short(self, end: bytes) -> tuple[int, ...]:
+        return tuple(n for n in range(len(end), 0, -1) if end[-n:] in self.rank)
+
     def _halves(self, token: bytes, below: int) -> tuple[int, int] | None:
         last = self._last_tokens(token, below)
         left = len(token) - len(self.token[last[-1]])
@@ -84,10 +91,16 @@ class Codec:
     def _last_tokens(self, piece: bytes, below: int = NEVER, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix; ``known`` has those of the first prefixes."""
         last = list(known or ())
-        rank, fits, reach = self.rank, self.fits, self.reach.get
+        rank, fits, lengths = self.rank, self.fits, self.lengths
         for end in range(len(last) + 1, len(piece) + 1):
-            longest = reach(piece[end - 3 if end > 3 else 0 : end], 2)
-            for start in range(end - longest if end > longest else 0, end):
+            tail = piece[end - 4 if end > 4 else 0 : end]
+            known_lengths = lengths.get(tail)
+            if known_lengths is None:
+                known_lengths = lengths[tail] = self._short(tail)
+            for n in known_lengths:
+                start = end - n
+                if start < 0:
+                    continue
                 t = rank.get(piece[start:end])
                 if t is None or t >= below:
                     continue
@@ -115,14 +128,10 @@ class Codec:
         whole = self.rank.get(piece)
         return [whole] if whole is not None else self._walk(self._last_tokens(piece))
 
-    def _learn(self, words: set[str], pieces: set[str]) -> None:
-        """Encode unknown pieces in byte order, so that each starts from the table of the prefix
-        it shares with the one before it.  ``words`` are pieces, or several, that a blank begins."""
-        split = {w: self.pieces(" " + w) for w in self.spaced.missing(words)}
-        parts = pieces.union(*split.values())
-        fresh = sorted(p.encode() for p in self.plain.missing(parts))
-        before, last, learnt = b"", [], self.plain.young
-        for piece in fresh:
+    def _learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """In byte order, so that each starts from the table of the prefix it shares with the last."""
+        before, last, learnt = b"", [], {}
+        for piece in sorted(p.encode() for p in pieces):
             whole = self.rank.get(piece)
             if whole is None:
                 same, most = 0, min(len(piece), len(before))
@@ -131,27 +140,39 @@ class Codec:
                 before, last = piece, self._last_tokens(piece, known=last[:same])
             ids = self._walk(last) if whole is None else [whole]
             learnt[piece.decode()] = array("I", ids).tobytes()
-        self.spaced.young.update((w, b"".join(map(learnt.__getitem__, p))) for w, p in split.items())
+        return learnt
+
+    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
+        """Stretches that a blank begins: a word, or a word and what follows up to the next blank."""
+        single = {w for w in words if w.isalpha()}
+        learnt = self._learn_pieces({" " + w for w in single})
+        out = {w: learnt[" " + w] for w in single}
+        rest = list(words - single)
+        parts = self.plain.look_up([self.pieces(" " + w) for w in rest], self._learn_pieces)
+        out.update((w, b"".join(p)) for w, p in zip(rest, parts, strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.  A blank before a non-blank always begins a
         piece, so such stretches are looked up whole."""
         if len(self.fits) > CACHED_PIECES:
             self.fits.clear()
-        cut = []
+        pieces, words = [], []
         for text in texts:
-            if _BLANKS.search(text):
-                cut.append((self.pieces(text), []))
-            else:
-                first, *words = text.split(" ")
-                cut.append((self.pieces(first), words))
-        self._learn(set().union(*(w for _, w in cut)), set().union(*(p for p, _ in cut)))
-        plain, spaced = self.plain.young.__getitem__, self.spaced.young.__getitem__
-        return [b"".join([*map(plain, p), *map(spaced, w)]) for p, w in cut]
+            first, *rest = [text] if _BLANKS.search(text) else text.split(" ")
+            pieces.append(self.pieces(first))
+            words.append(rest)
+        spaced = self.spaced.look_up(words, self._learn_words)
+        plain = self.plain.look_up(pieces, self._learn_pieces)
+        return [b"".join([*p, *w]) for p, w in zip(plain, spaced, strict=True)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    def spell(self, ids: Iterable[int]) -> str:
+        """The ids as decimal numbers, joined by a blank."""
+        return " ".join(map(self.digits.__getitem__, ids))
+
 
 class Editable:
     """A text with its pieces and their prefix tables, for appends and edits."""
@@ -220,10 +241,10 @@ def _id_lists(column: pa.ListArray) -> list[list[int]]:
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every whole text."""
+def encoding(path: str, pattern: str):
+    """Batches of (doc_id, text) to batches of (doc_id, ids)."""
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for some in _slices(batches):
             ids = own.encode(some.column(1).to_pylist())
@@ -231,13 +252,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(encode, "doc_id long, ids array<int>")
+    return run
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes behind the ids."""
+def decoding(path: str, pattern: str):
+    """Batches of (doc_id, ids) to batches of (doc_id, ids, decoded)."""
 
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for some in _slices(batches):
             texts = [own.decode(ids) for ids in _id_lists(some.column(1))]
@@ -245,22 +266,38 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 [*some.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
+    return run
 
 
-def round_trip_digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded documents."""
+def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) of every whole text."""
+    return docs.select("doc_id", text_or_empty()).mapInArrow(
+        encoding(path, pattern), "doc_id long, ids array<int>"
+    )
 
-    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): the bytes behind the ids."""
+    return encoded.select("doc_id", "ids").mapInArrow(
+        decoding(path, pattern), "doc_id long, ids array<int>, decoded binary"
+    )
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded and decoded again, in one
+    pass of one Python worker a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for some in decoding(path, pattern)(encoding(path, pattern)(batches)):
             lists = _id_lists(some.column(1))
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), pa.array([len(x) for x in lists], pa.int64()),
-                 pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in lists]),
-                 some.column(2)],
+                 pa.array([hashlib.sha256(own.spell(x).encode()).hexdigest() for x in lists]),
+                 pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in some.column(2)])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return decoded.select("doc_id", "ids", F.sha2("decoded", 256)).mapInArrow(
-        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", text_or_empty()).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

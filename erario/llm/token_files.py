@@ -44,14 +44,15 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.known = Memory(CACHED_WORDS)
 
+    def _learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        pieces = list(pieces)
+        found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         pieces = [t.split() for t in texts]  # at ASCII white space
-        missing = list(self.known.missing(set().union(*pieces)))
-        found = self.library.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)
-        known = self.known.young
-        known.update((m, array("I", e.ids).tobytes()) for m, e in zip(missing, found, strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        return [b"".join(ids) for ids in self.known.look_up(pieces, self._learn)]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -31,9 +31,7 @@ def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    encoded = prefix_bpe.encode_documents(docs, BYTE_RANKS, public_tokenizers.PATTERN)
-    decoded = prefix_bpe.decode_documents(encoded, BYTE_RANKS, public_tokenizers.PATTERN)
-    return prefix_bpe.round_trip_digest(decoded)
+    return prefix_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
