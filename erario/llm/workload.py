@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from . import bitsliced, metric_join, mixing, prefix_bpe, token_files
+from . import bitsliced, metric_join, mixing, prefix_bpe, simhash, token_files, toxicity
 from .common import read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), Store(spark), words=4, bits=4)
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Store(spark).path("tokens")
     token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
@@ -29,6 +33,11 @@ def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, labels, Store(spark))
+
+
 def prefix_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return prefix_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
@@ -45,9 +54,11 @@ def bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash_components,
         "op2_token_output": token_output,
         "op4_source_weights": source_weights,
         "op6_metric_join": metric_range_join,
+        "op7_toxicity": toxicity_scores,
         "op9_prefix_bpe": prefix_bpe_round_trip,
         "op10_bitsliced_top_k": bitsliced_top_k,
     }
