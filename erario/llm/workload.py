@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from . import bitsliced, metric_join, mixing, prefix_bpe, simhash, token_files, toxicity
+from . import (
+    bitsliced, metric_join, mixing, prefix_bpe, simhash, suffix_dedup, token_files, toxicity, window_dedup,
+)
 from .common import read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +45,19 @@ def prefix_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def _with_digest(removed: DataFrame) -> DataFrame:
+    """The bytes that are left as a digest in their place."""
+    return removed.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
+def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_digest(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), Store(spark), n=200))
+
+
+def window_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_digest(window_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), Store(spark), n=35))
+
+
 def metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(read_table(spark, sf_dir, "embeddings"), Store(spark), cosine=0.9)
 
@@ -57,8 +72,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash_components,
         "op2_token_output": token_output,
         "op4_source_weights": source_weights,
+        "op5_suffix_removal": suffix_removal,
         "op6_metric_join": metric_range_join,
         "op7_toxicity": toxicity_scores,
+        "op8_window_removal": window_removal,
         "op9_prefix_bpe": prefix_bpe_round_trip,
         "op10_bitsliced_top_k": bitsliced_top_k,
     }
