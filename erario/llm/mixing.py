@@ -98,14 +98,15 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple
 def mix(
     docs: DataFrame, store: Store, weight: Callable[[int], float], most: float = 3.0, seed: int = 7
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): one row a document.
+    """(doc_id, tk, source, size, source_size, target, copies, taken): one row a document; ``tk`` is
+    a hash of its text.
 
     ``weight``: of the n-th source by code point.  One row a source meets in the driver; the
     counts by length of one source meet in one task (their number is at most the square root of
     twice the source's words).
     """
     sized = store.save(docs.select(
-        "doc_id", "source", word_count().alias("size"),
+        "doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), "source", word_count().alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
     ))
     counts = store.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -159,10 +160,25 @@ def mix(
     copies = F.col("whole") + F.coalesce(cut, F.lit(False)).cast("long")
     return (
         placed.alias("d").join(starts.alias("s"), same, "left")
-        .select("doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"))
+        .select("doc_id", "tk", "d.source", "d.size", "source_size", "target", copies.alias("copies"))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
 
 
+def mixed_documents(
+    docs: DataFrame, store: Store, weight: Callable[[int], float], most: float = 3.0, seed: int = 7
+) -> DataFrame:
+    """The documents, each as often as the mix takes it.  Rows equal in doc_id and text are taken
+    alike, as often as the mix takes the one it takes most."""
+    taken = store.save(
+        mix(docs, store, weight, most, seed).groupBy("doc_id", "tk").agg(F.max("copies").alias("copies"))
+        .where("copies > 0")
+    )
+    rows = docs.select(F.col("doc_id").alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
+    same = F.expr("a.id <=> b.doc_id and a.tk = b.tk")
+    return rows.alias("a").join(taken.alias("b"), same).select("row", each).select("row.*")
+
+
 FIT = {"source": "string", "size": "long", "n": "long", "source_size": "long", "target": "double",
        "whole": "long", "extra": "long"}

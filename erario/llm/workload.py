@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from erario.store import Store
 
 from . import (
-    bitsliced, metric_join, mixing, prefix_bpe, simhash, suffix_dedup, token_files, toxicity, window_dedup,
+    bitsliced, line_templates, metric_join, mixing, prefix_bpe, simhash, suffix_dedup, token_files, toxicity, window_dedup,
 )
 from .common import read_table
 
@@ -50,6 +50,10 @@ def _with_digest(removed: DataFrame) -> DataFrame:
     return removed.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
 
 
+def template_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_digest(line_templates.summary(read_table(spark, sf_dir, "documents"), Store(spark)))
+
+
 def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_digest(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), Store(spark), n=200))
 
@@ -71,6 +75,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash_components,
         "op2_token_output": token_output,
+        "op3_line_templates": template_line_removal,
         "op4_source_weights": source_weights,
         "op5_suffix_removal": suffix_removal,
         "op6_metric_join": metric_range_join,
