@@ -17,11 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _shipped: set[str] = set()
+#: Rows that go to a Python worker at once.  Texts are long, and both sides hold a batch several
+#: times over; Spark's default suits narrow rows.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, which may not share the driver's module path."""
+    """Give this package to the Python workers, which may not share the driver's module path, and
+    keep their batches small unless the session says otherwise."""
     sc = spark.sparkContext
+    name, default, rows = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         package = Path(__file__).resolve().parents[1]

@@ -7,7 +7,8 @@ e, so only such vectors are replicated into the cell, and cells join independent
 the one of the earlier pivot holds the pairs across them.  Equal vectors are joined once.
 
 Vectors that are null, zero or hold null or non-finite components, and vectors of different length,
-link with nothing.  Rows with an equal vec_id are vectors of their own.
+link with nothing.  Repeated rows count as vectors of their own; rows of one vec_id with different
+vectors form one node, which has the links of all of them.
 """
 
 from __future__ import annotations

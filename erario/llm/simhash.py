@@ -7,7 +7,8 @@ by their whole distance.  Equal fingerprints are one node; a pair whose ends are
 connected is not looked at, so a dense group costs no square of its size.
 
 Texts without words (also empty or null ones) have fingerprint zero and link like any other.  Rows
-with an equal doc_id are documents of their own; a null doc_id names no component.
+of one doc_id with different texts form one node if it is the smallest of both fingerprints; a null
+doc_id names no component.
 """
 
 from __future__ import annotations

@@ -41,8 +41,8 @@ class Shard:
 
     def __init__(self, parts: list[bytes], n: int):
         self.n = n
-        self.sizes = np.array([len(p) for p in parts])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.size = int(self.sizes.sum())
         text = np.frombuffer(b"".join(parts) + bytes(n + 16), np.uint8)
         #: The eight bytes from each place on, as one number that orders as they do.

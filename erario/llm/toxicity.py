@@ -67,15 +67,16 @@ class Finder:
         return sorted(found)
 
 
-def _count_terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         counts = (Counter(), Counter())
-        for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            counts[int(toxic)].update(terms_of(text))
-        names = list(counts[1])
-        yield pd.DataFrame({"term": names, "bad": [counts[1][t] for t in names], "good": [counts[0][t] for t in names]})
-        rest = list(counts[0].keys() - counts[1].keys())
-        yield pd.DataFrame({"term": rest, "bad": 0, "good": [counts[0][t] for t in rest]})
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[toxic].update(terms_of(text))
+        terms = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.string()), *(pa.array([counts[c][t] for t in terms], pa.int64()) for c in (1, 0))],
+            names=["term", "bad", "good"],
+        )
 
 
 def mine(sample: DataFrame, store: Store, most: int = TERMS) -> list[str]:
@@ -88,7 +89,7 @@ def mine(sample: DataFrame, store: Store, most: int = TERMS) -> list[str]:
         return []
     rate = bad / n
     counted = store.save(
-        texts.select("text", "toxic").mapInPandas(_count_terms, "term string, bad long, good long")
+        texts.select("text", "toxic").mapInArrow(_count_terms, "term string, bad long, good long")
         .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
     tested = counted.count()
