@@ -169,7 +169,6 @@ STAR_FILTERS = (
     "id_capitulo", "id_ff", "id_pp", "tipo_gasto", "banda_ejecucion",
     "desc_ramo", "desc_ur",
 )
-MAX_LIMIT = 5000
 LABEL_COLUMNS = (
     "desc_ramo", "desc_ur", "entidad_federativa", "desc_capitulo", "desc_pp",
     "desc_ff", "banda_ejecucion", "tipo_gasto", "ciclo",

@@ -23,8 +23,13 @@ def known(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Text to double; anything that is not a plain decimal number becomes null."""
-    return F.when(c.rlike(NUMBER), F.trim(c)).try_cast("double")
+    """Text to double; anything that is not a plain decimal number, or too large for a double,
+    becomes null."""
+    return finite(F.when(c.rlike(NUMBER), F.trim(c)).try_cast("double"))
+
+
+def finite(c: Column) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def whole(c: Column, name: str) -> Column:
@@ -49,10 +54,18 @@ def as_amount(c: Column, kind: DataType) -> Column:
     if isinstance(kind, StringType):
         return number(c)
     if isinstance(kind, (DoubleType, FloatType)):
-        return F.when(~F.isnan(c), c).cast("double")
+        return finite(F.when(~F.isnan(c), c).cast("double"))
     return c.cast("double")
 
 
+def fraction_seen(c: Column, kind: DataType) -> Column | None:
+    """Whether any value of an id column is not a whole number; None if its type rules it out."""
+    if not isinstance(kind, (StringType, DoubleType, FloatType)):
+        return None
+    value = as_amount(c, kind)
+    return F.coalesce(F.bool_or(value != F.floor(value)), F.lit(False))
+
+
 def as_whole(c: Column, kind: DataType, name: str) -> Column:
     if isinstance(kind, StringType):
         return whole(c, name)

@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 from erario import fixed
 from erario.functions.execution import derived
-from erario.functions.parsing import as_amount, as_text, as_whole
+from erario.functions.parsing import as_amount, as_text, as_whole, fraction_seen
 
 
 def typed(df: DataFrame, null_text: str | None = None) -> DataFrame:
     """Amounts to double, ids to long, texts stripped; other columns pass unchanged.
 
+    The period and the line key must be whole numbers.  Another id column that holds a fraction
+    somewhere is a double as a whole, which one pass over the untyped id columns finds out.
+
     ``null_text`` replaces a missing text (``"nan"`` mirrors a frame whose texts went
     through a string cast); by default it stays null and keys are joined null-safely.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    asked = {n: fraction_seen(F.col(n), kinds[n]) for n in df.columns if n in fixed.NUMERIC_IDS}
+    asked = {n: seen.alias(n) for n, seen in asked.items() if seen is not None}
+    fractional = {n for n, yes in df.agg(*asked.values()).head().asDict().items() if yes} if asked else set()
 
     def one(name: str):
         c = F.col(name)
-        if name in fixed.AMOUNTS:
+        if name in fixed.AMOUNTS or name in fractional:
             return as_amount(c, kinds[name]).alias(name)
         if name in (fixed.PERIOD, fixed.LINE_KEY) or name in fixed.NUMERIC_IDS:
             return as_whole(c, kinds[name], name).alias(name)

@@ -80,7 +80,9 @@ _BUCKET_BITS = 48  # the top 16 bits of a hash name its bucket
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """The hash skips nulls, so each key's null mark is hashed with it."""
+    marked = [part for k in keys for part in (F.col(k).isNull(), F.col(k))]
+    return F.xxhash64(F.lit(seed), *marked)
 
 
 @dataclass(frozen=True)

@@ -1,9 +1,9 @@
 """Exact interpolated quantiles at any size.
 
-``percentile`` keeps every distinct value of a column in one buffer, so it serves small
-frames only.  Beyond that, each quantile is narrowed down: a sample proposes a bracket around
-its rank, one pass of counts proves the bracket right, and the rows inside are few enough to
-be ordered.  The sample decides how fast the answer comes, never what it is.
+A quantile over many rows is narrowed down: a sample proposes a bracket around its rank, one pass
+of counts proves the bracket right, until the rows inside are few enough to be ordered.  The sample
+decides how fast the answer comes, never what it is: at every size the value is interpolated between
+the same two rows, in the same way.
 """
 
 from __future__ import annotations
@@ -63,16 +63,12 @@ def quantiles(
     """Rows (name, prob, value); nulls are left out, value is null if nothing is left.
 
     ``accuracy`` asks for ``percentile_approx`` instead: one pass, not interpolated."""
-    if accuracy is None and df.count() > buffered_rows:
+    if accuracy is None:
         return _narrowed(df, columns, probs, store or Store(df.sparkSession), max(buffered_rows, 1))
-
-    def one(c: Column) -> Column:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        if accuracy is not None:
-            return F.percentile_approx(c, wanted, accuracy).cast("array<double>")
-        return F.percentile(c, wanted)
-
-    row = df.agg(*[one(c).alias(n) for n, c in columns.items()])
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    row = df.agg(*[
+        F.percentile_approx(c, wanted, accuracy).cast("array<double>").alias(n) for n, c in columns.items()
+    ])
     cells = [
         F.struct(
             F.lit(n).alias("name"), F.lit(float(p)).alias("prob"), F.col(n)[i].alias("value")

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from erario import fixed
 from erario.operators.filters import chosen
+from erario.operators.numbering import number_rows
 from erario.plans.star import Warehouse
 from erario.plans.views import VIEWS, restricted, star, view
+from erario.store import Store
 
 
-def clamp(limit: int) -> int:
-    return max(1, min(limit, fixed.MAX_LIMIT))
+def checked(limit: int | None) -> int | None:
+    """None asks for every row; a limit below 1 is an error."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit must be at least 1, not {limit}")
+    return limit
 
 
 def axes() -> list[str]:
@@ -43,7 +48,7 @@ class AxisResult:
 
 @dataclass(frozen=True)
 class StarPage:
-    limit: int
+    limit: int | None
     offset: int
     filters_applied: dict[str, Any]
     data: DataFrame
@@ -55,7 +60,7 @@ class StarPage:
 
 
 def query_axis(
-    wh: Warehouse, axis: str, filters: dict[str, Any] | None = None, limit: int = 100,
+    wh: Warehouse, axis: str, filters: dict[str, Any] | None = None, limit: int | None = 100,
     grain: str = "key",
 ) -> AxisResult:
     """The largest groups of an axis.  Filters the axis does not know are ignored."""
@@ -64,7 +69,9 @@ def query_axis(
     applied = chosen(filters or {}, fixed.AXIS_FILTERS[axis])
     groups = view(wh, axis, grain, applied)
     ties = [F.col(c).asc_nulls_last() for c in _keys(wh, axis, groups)]
-    top = groups.orderBy(F.col("n_registros").desc_nulls_last(), *ties).limit(clamp(limit))
+    top = groups.orderBy(F.col("n_registros").desc_nulls_last(), *ties)
+    if checked(limit) is not None:
+        top = top.limit(limit)
     return AxisResult(axis, fixed.AXIS_VIEWS[axis], applied, top)
 
 
@@ -76,14 +83,14 @@ def _keys(wh: Warehouse, axis: str, groups: DataFrame) -> list[str]:
     return [n for n in dict.fromkeys(names + [fixed.PERIOD]) if n in groups.columns]
 
 
-def query_kpis(wh: Warehouse, ciclo: int | None = None, limit: int = 50) -> AxisResult:
+def query_kpis(wh: Warehouse, ciclo: int | None = None, limit: int | None = 50) -> AxisResult:
     return query_axis(wh, "global", {"ciclo": ciclo}, limit)
 
 
 def query_star(
     wh: Warehouse,
     filters: dict[str, Any] | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
     after: tuple[float | None, int] | None = None,
 ) -> StarPage:
@@ -91,12 +98,13 @@ def query_star(
 
     The page is cut from fact rows alone and labelled afterwards, so dimensions are joined
     to one page, not to the fact.  ``after`` = (amount, fact_sk) of the last row seen
-    continues from there without sorting the rows an ``offset`` would skip."""
+    continues from there without sorting the rows an ``offset`` would skip.  With an offset,
+    amounts and keys alone are numbered over range partitions, so no task meets the rows skipped."""
     applied = chosen(filters or {}, fixed.STAR_FILTERS)
     matching = restricted(wh, wh.fact, applied)
     amount, key = F.col(fixed.MODIFIED), F.col(fixed.FACT_KEY)
     order = [amount.desc_nulls_last(), key.asc()]
-    limit = clamp(limit)
+    checked(limit)
     rest = matching
     if after is not None:
         last, sk = after
@@ -106,8 +114,15 @@ def query_star(
             rest = matching.filter(
                 (amount < last) | amount.isNull() | ((amount == last) & (key > sk))
             )
-    ordered = rest.orderBy(*order)
-    page = (ordered.offset(offset) if offset else ordered).limit(limit)
+    if offset:
+        numbered = number_rows(
+            rest.select(amount, key), order, "__place", Store(wh.fact.sparkSession))
+        wanted = F.col("__place") > offset
+        if limit is not None:
+            wanted &= F.col("__place") <= offset + limit
+        page = rest.join(numbered.filter(wanted).select(key), fixed.FACT_KEY, "left_semi")
+    else:
+        page = rest.orderBy(*order).limit(limit) if limit is not None else rest
     return StarPage(limit, offset, applied, star(wh, fact=page).orderBy(*order), matching)
 
 
@@ -163,6 +178,9 @@ def chart_rows(
     )
     texts = [F.col(c).cast("string") for c in labels if c in data.columns]
     filled = [F.when(F.length(F.trim(t)) > 0, t) for t in texts]
-    last = "Total" if result.axis == "global" else "—"
-    label = F.substring(reduce(lambda a, b: F.coalesce(a, b), [*filled, F.lit(last)]), 1, fixed.LABEL_LENGTH)
+    if result.axis == "global":
+        last = F.lit("Total")
+    else:  # the row's first value
+        last = F.coalesce(F.col(data.columns[0]).cast("string"), F.lit("—"))
+    label = F.substring(reduce(lambda a, b: F.coalesce(a, b), [*filled, last]), 1, fixed.LABEL_LENGTH)
     return data.limit(rows).select(label.alias("label"), F.col(metric).cast("double").alias("value"))

@@ -25,7 +25,8 @@ _FLAGS = (
 
 
 def tidy(df: DataFrame, measures: Sequence[Measure]) -> DataFrame:
-    """Compute all aggregates in one pass and lay them out one per row."""
+    """Compute all aggregates in one pass and lay them out one per row.  A constant is a measure
+    as it is, so it also holds on an empty frame."""
     row = df.agg(*[m[3].cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
     cells = [
         F.struct(
@@ -51,10 +52,10 @@ def _executed(df: DataFrame) -> tuple[Column, Column, Column]:
 
 
 def shape_measures(df: DataFrame) -> list[Measure]:
-    listed = [("columnas", c, "posicion", F.max(F.lit(i))) for i, c in enumerate(df.columns)]
+    listed = [("columnas", c, "posicion", F.lit(i)) for i, c in enumerate(df.columns)]
     return [
         ("forma", "", "n_filas", F.count("*")),
-        ("forma", "", "n_columnas", F.max(F.lit(len(df.columns)))),
+        ("forma", "", "n_columnas", F.lit(len(df.columns))),
         *listed,
     ]
 
@@ -96,7 +97,7 @@ def filter_measures() -> list[Measure]:
     """Rows passing each named filter, and the thresholds in use."""
     counts = [("filtros_analiticos_n_filas", n, "n", F.count_if(c)) for n, c in named_filters().items()]
     limits = {"RATIO_ALTA_EJECUCION": fixed.HIGH_RATIO, "RATIO_MEDIA_EJECUCION": fixed.MIDDLE_RATIO}
-    return counts + [("umbrales", n, "umbral", F.max(F.lit(v))) for n, v in limits.items()]
+    return counts + [("umbrales", n, "umbral", F.lit(v)) for n, v in limits.items()]
 
 
 def quantile_rows(
@@ -226,7 +227,7 @@ def profile_clean(
     )
     measures = flag_measures() + filter_measures()
     if duplicates is not None:
-        measures.append(("forma", "", "duplicados_eliminados", F.max(F.lit(duplicates))))
+        measures.append(("forma", "", "duplicados_eliminados", F.lit(duplicates)))
     return profile_raw(df, store, exact, buffered_rows).unionByName(tidy(df, measures)).unionByName(bands)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from erario import fixed
 from erario.functions.execution import ratio
-from erario.functions.measures import joined, mean_ratio, positive, split_total, tally
+from erario.functions.measures import PARTS, joined, mean_ratio, positive, split_total, tally
 from erario.operators.filters import equalities
 from erario.plans.star import Warehouse
 
@@ -67,11 +67,11 @@ VIEWS = {
 
 
 def _partials(measures: tuple[str, ...]) -> dict[str, Column]:
-    """Sums that add up when groups are merged; an amount has two."""
+    """Sums that add up when groups are merged; an amount has three."""
     need = {"n_registros": F.count("*")}
 
     def money(name: str, c: Column) -> None:
-        need[f"__units_{name}"], need[f"__rest_{name}"] = split_total(c)
+        need.update(zip((f"__{p}_{name}" for p in PARTS), split_total(c), strict=True))
 
     for m in measures:
         if m in fixed.AMOUNTS:
@@ -88,7 +88,7 @@ def _partials(measures: tuple[str, ...]) -> dict[str, Column]:
 
 def _finished(measures: tuple[str, ...]) -> list[Column]:
     def money(name: str) -> Column:
-        return joined(F.col(f"__units_{name}"), F.col(f"__rest_{name}"))
+        return joined(*(F.col(f"__{p}_{name}") for p in PARTS))
 
     out = [F.col("n_registros")]
     for m in measures:

@@ -23,8 +23,8 @@ from erario_checks.workload import Query, Stage, on_clean as over_clean, rounded
 # The short profile with few boosting rounds: the candidates, folds and reports are those of
 # a full run, on every modelling row.
 CONFIG = TrainConfig(fast=True, boosting_rounds=5)
-TEXTS = ["tipo_gasto", "desc_ramo", "entidad_federativa", "desc_concepto", "desc_pp"]
-FEW_LEVELS = 10  # fewer than the texts have, so that levels are pooled
+# Part types, which stand for chapters, have more levels than are kept, so some are pooled.
+TEXTS = ["tipo_gasto", "desc_ramo", "entidad_federativa", "desc_concepto", "desc_pp", "desc_capitulo"]
 
 
 class Models:
@@ -75,7 +75,7 @@ def _prepared(df: DataFrame) -> DataFrame:
     fit = df.filter(
         (F.col("monto_modificado") > 0) & F.col("flag_registro_valido")
         & (F.col("tipo_gasto") == fixed.PROGRAMMABLE))
-    stats, rare = features.text_stats(fit, TEXTS, store, FEW_LEVELS)
+    stats, rare = features.text_stats(fit, TEXTS, store, fixed.MAX_LEVELS)
     prep = features.Preparation(tuple(TEXTS), (), tuple(stats))
     ready = features.apply(df, prep, features.sized_rare(store.save(rare)))
     return (
@@ -161,7 +161,7 @@ def learning_queries() -> dict[str, Query]:
         "standardise": over_clean(_standardise),
         "impute_mode": over_clean(lambda df: features.modes(value_counts(df, TEXTS))),
         "onehot_levels": over_clean(
-            lambda df: features.top_levels(value_counts(df, TEXTS), FEW_LEVELS)
+            lambda df: features.top_levels(value_counts(df, TEXTS), fixed.MAX_LEVELS)
             .withColumn("place", F.col("place").cast("bigint"))),
         "onehot_prepared": over_clean(_prepared),
         "metrics_regression": _metrics_regression,
@@ -209,7 +209,7 @@ def learning_oracle() -> dict[str, str]:
     fit_counts = _COUNTS.replace("FROM clean", "FROM fit")
     placed = ("placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS place, "
               "count(*) OVER (PARTITION BY name) AS levels FROM counts)")
-    kept = f"(levels <= {FEW_LEVELS} OR place < {FEW_LEVELS})"
+    kept = f"(levels <= {fixed.MAX_LEVELS} OR place < {fixed.MAX_LEVELS})"
     prepared = " UNION ALL ".join(
         f"SELECT 'txt_{c}' AS name, CASE WHEN k.value IS NULL THEN '*unseen' WHEN k.kept THEN k.value ELSE '*pooled' END AS value, count(*) AS n "
         f"FROM clean LEFT JOIN (SELECT value, {kept} AS kept FROM placed WHERE name = '{c}') k ON clean.{c} = k.value GROUP BY 1, 2"
@@ -224,7 +224,7 @@ def learning_oracle() -> dict[str, str]:
         "impute_mode": _with(
             f"{_COUNTS} SELECT name, first(value ORDER BY n DESC, value) AS mode, count(*) AS levels FROM counts GROUP BY name"),
         "onehot_levels": _with(
-            f"{_COUNTS}, {placed} SELECT name, value, n, place, levels > {FEW_LEVELS} AS pooled FROM placed WHERE {kept}"),
+            f"{_COUNTS}, {placed} SELECT name, value, n, place, levels > {fixed.MAX_LEVELS} AS pooled FROM placed WHERE {kept}"),
         "metrics_regression": "SELECT " + _REG.replace("avg(abs(y - p))", "round(avg(abs(y - p)), 6)")
         .replace("sqrt(avg((y - p) * (y - p)))", "round(sqrt(avg((y - p) * (y - p))), 6)")
         .replace("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))", "round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6)")

@@ -328,11 +328,15 @@ def base_oracle() -> dict[str, str]:
         f"SELECT desc_pp, desc_funcion, ciclo, {_VIEWS['programa'][1]} FROM fact GROUP BY desc_pp, desc_funcion, ciclo")
     o["views_by_sql"] = on_star(
         "SELECT entidad_federativa, count(*) AS n, CAST(sum(CASE WHEN sin_pago THEN 1 ELSE 0 END) AS BIGINT) AS unpaid "
-        "FROM fact WHERE ciclo >= 1996 GROUP BY entidad_federativa")
+        "FROM fact GROUP BY entidad_federativa")
+    o["axis_capitulo_all"] = o["view_capitulo"]
+    o["all_views_by_sql"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS n FROM ({o['view_kpis' if axis == 'global' else f'view_{axis}']})"
+        for axis, name in [*fixed.AXIS_VIEWS.items(), ("star", fixed.STAR_VIEW)])
     o["kpis_one_cycle"] = on_star(_top("kpis", 50, "ciclo = 1997"))
     o["axis_filtered_ramo"] = on_star(_top("ramo", 100, "id_ramo = 2 AND ciclo = 1996"))
     o["axis_filtered_ur"] = on_star(_top("ur", 100, "id_ur = 'U2' AND id_ramo = 2"))
-    o["axis_filtered_capitulo"] = on_star(_top("capitulo", 5000, "id_capitulo = 7"))
+    o["axis_filtered_capitulo"] = on_star(_top("capitulo", 10**9, "id_capitulo = 7"))
     page = "ORDER BY monto_modificado DESC NULLS LAST, fact_sk"
     o["star_page"] = on_star(
         f"SELECT {_CUBE} FROM fact WHERE id_ramo = 1 AND tipo_gasto = 'PROGRAMABLE' {page} LIMIT 50")

@@ -123,10 +123,16 @@ def _views_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, Stage.of(spark, sf_dir).warehouse)
     return spark.sql(
         f"SELECT entidad_federativa, sum(n_registros) AS n, sum(n_sin_pago) AS unpaid "
-        f"FROM {fixed.AXIS_VIEWS['entidad']} WHERE ciclo >= 1996 GROUP BY entidad_federativa"
+        f"FROM {fixed.AXIS_VIEWS['entidad']} GROUP BY entidad_federativa"
     )
 
 
+def _all_views_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every registered view, counted by SQL text."""
+    names = register_views(spark, Stage.of(spark, sf_dir).warehouse)
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in names))
+
+
 def base_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "lens": on_lens(lambda df: df),
@@ -156,7 +162,8 @@ def base_queries() -> dict[str, Query]:
     q["fact_table"] = on_warehouse(lambda wh: rounded(wh.fact_table(), LOG))
     q["fact_numbering"] = on_warehouse(_fact_numbering)
     q["modelling_star"] = on_warehouse(lambda wh: rounded(modelling_star(wh), LOG))
-    q["warehouse_report"] = on_warehouse(lambda wh: warehouse_report(wh, len(fixed.AXIS_VIEWS) + 1))
+    q["warehouse_report"] = on_warehouse(
+        lambda wh: warehouse_report(wh, len(register_views(wh.fact.sparkSession, wh))))
     q["orphans"] = on_warehouse(orphans)
     q["missing_keys"] = on_warehouse(lambda wh: missing_keys(wh.fact, wh.spec.sks))
     q["key_uniqueness"] = on_warehouse(key_uniqueness)
@@ -171,13 +178,16 @@ def base_queries() -> dict[str, Query]:
     q["view_capitulo_label"] = on_warehouse(lambda wh: view(wh, "capitulo", "label"))
     q["view_programa_label"] = on_warehouse(lambda wh: view(wh, "programa", "label"))
     q["views_by_sql"] = _views_by_sql
+    q["all_views_by_sql"] = _all_views_by_sql
+    q["axis_capitulo_all"] = on_warehouse(
+        lambda wh: rounded(query_axis(wh, "capitulo", limit=None).data, MEAN))
     q["kpis_one_cycle"] = on_warehouse(lambda wh: rounded(query_kpis(wh, 1997).data, MEAN))
     q["axis_filtered_ramo"] = on_warehouse(
         lambda wh: query_axis(wh, "ramo", {"id_ramo": 2, "ciclo": 1996, "id_pp": 9}).data)
     q["axis_filtered_ur"] = on_warehouse(
         lambda wh: query_axis(wh, "ur", {"id_ur": "U2", "id_ramo": 2}).data)
     q["axis_filtered_capitulo"] = on_warehouse(
-        lambda wh: query_axis(wh, "capitulo", {"id_capitulo": 7}, limit=5000).data)
+        lambda wh: query_axis(wh, "capitulo", {"id_capitulo": 7}, limit=None).data)
     q["star_page"] = on_warehouse(
         lambda wh: query_star(wh, {"id_ramo": 1, "tipo_gasto": "PROGRAMABLE"}, 50).data)
     q["star_page_offset"] = on_warehouse(
@@ -198,7 +208,7 @@ def base_queries() -> dict[str, Query]:
     q["profile_flags"] = _profile(lambda df: profile.flag_measures())
     q["profile_quantiles"] = on_clean(lambda df: rounded(profile.quantile_rows(df), "value"))
     q["profile_quantiles_ranked"] = on_clean(
-        lambda df: rounded(profile.quantile_rows(df, buffered_rows=0), "value"))
+        lambda df: rounded(profile.quantile_rows(df, buffered_rows=2000), "value"))
     q["profile_freq"] = on_clean(lambda df: profile.frequencies(df, "tipo_gasto", "tipo_gasto"))
     q["profile_top10"] = on_clean(
         lambda df: profile.frequencies(df, "entidad_federativa", "entidad_top10", 10))

@@ -151,3 +151,29 @@ def test_modelling_frame_falls_back_to_csv(spark, tmp_path, store):
     assert load_modelling_frame(spark, store, csv=csv).count() == 5
     with pytest.raises(FileNotFoundError):
         load_modelling_frame(spark, store)
+
+
+def test_fractional_ids_and_numbers_out_of_range(spark):
+    rows = [("2020", "1", "12.5", "1e400"), ("2020", "2", "3", "inf"), ("2020", "3", "n/d", "7")]
+    df = spark.createDataFrame(rows, "ciclo string, id_clave_cartera string, id_pp string, monto_pagado string")
+    out = typed(df)
+    assert dict(out.dtypes)["id_pp"] == "double"
+    got = {r["id_clave_cartera"]: (r["id_pp"], r["monto_pagado"]) for r in out.collect()}
+    assert got == {1: (12.5, None), 2: (3.0, None), 3: (None, 7.0)}
+    assert dict(typed(df.where("id_pp <> '12.5'")).dtypes)["id_pp"] == "bigint"
+
+
+def test_large_money_adds_up(spark):
+    from erario.functions.measures import total
+
+    df = spark.createDataFrame([(1.5e18,)] * 10 + [(-0.25,), (0.75,), (3e19,)], "v double")
+    assert df.agg(total(F.col("v"))).head()[0] == 4.5e19
+    assert df.where("v < 1").agg(total(F.col("v"))).head()[0] == 0.5
+
+
+def test_constants_hold_on_an_empty_frame(spark):
+    from erario.plans.profile import filter_measures, shape_measures, tidy
+
+    df = clean(spark.createDataFrame([], "ciclo string, id_clave_cartera string, tipo_gasto string, monto_modificado double, monto_pagado double, monto_aprobado double")).df
+    rows = tidy(df, [*shape_measures(df), *filter_measures()]).where("section in ('umbrales', 'columnas') or metric = 'n_columnas'").collect()
+    assert rows and all(r["value"] is not None for r in rows)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from erario.operators.numbering import hash_cuts, number_rows, row_hash, running_totals
 from erario.operators.quantiles import quantiles
+from erario.modelling.split import split
 from erario.plans.profile import band_counts, duplicate_rows, ratio_histogram
 
 
@@ -136,3 +137,20 @@ def test_histogram_edges(spark):
 def test_empty_bands_are_listed(spark):
     df = spark.createDataFrame([("alta",), ("alta",), ("sobre",)], "banda_ejecucion string")
     assert [r["n"] for r in sorted(band_counts(df).collect(), key=lambda r: r["banda_orden"])] == [0, 0, 0, 0, 2, 1]
+
+
+def test_null_keys_are_told_apart(spark):
+    rows = [(None, str(i)) for i in range(1000)] + [(str(i), None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    train, test = split(df, ["a", "b"], 0.2, 1)
+    assert (train.count(), test.count()) == (1600, 400)
+
+
+def test_both_sides_of_the_bound_give_equal_bits(spark, store):
+    df = skewed(spark)
+    probs = [i / 20 for i in range(21)]
+    few, many = (
+        {r["prob"]: r["value"] for r in quantiles(df, {"v": F.col("v")}, probs, store, bound).collect()}
+        for bound in (10**9, 200)
+    )
+    assert few == many

@@ -7,7 +7,7 @@ from erario.plans.olap import (
     axes,
     catalogue,
     chart_rows,
-    clamp,
+    checked,
     lookup,
     query_axis,
     query_kpis,
@@ -23,7 +23,22 @@ def wh(spark):
 
 
 def test_limits():
-    assert [clamp(n) for n in (-3, 0, 1, 5000, 9999)] == [1, 1, 1, 5000, 5000]
+    assert [checked(n) for n in (1, 9999, None)] == [1, 9999, None]
+    for n in (-3, 0):
+        with pytest.raises(ValueError):
+            checked(n)
+
+
+def test_no_limit_gives_every_group(wh):
+    assert query_axis(wh, "capitulo", limit=None).data.count() == view(wh, "capitulo").count()
+
+
+def test_deep_page_meets_in_no_task(wh):
+    page = query_star(wh, limit=7, offset=300)
+    plan = page.data._jdf.queryExecution().executedPlan().toString()
+    assert "limit=307" not in plan and "offset" not in plan.lower()
+    order = query_star(wh, limit=307).data.select("fact_sk").collect()[300:]
+    assert page.data.select("fact_sk").collect() == order
 
 
 def test_catalogue(spark):
