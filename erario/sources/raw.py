@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from erario.functions.parsing import known
 
@@ -13,13 +14,19 @@ _PROBE = "desc_ramo"
 
 
 def _csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    """All columns declared as text under the names of the first header.  The headers of all files
+    are held against it, so a file whose columns stand in another order fails the read."""
+    def reader():
+        return (
+            spark.read.option("header", True)
+            .option("encoding", encoding)
+            .option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline)
+        )
+
+    names = reader().csv(path).columns
+    declared = StructType([StructField(n, StringType()) for n in names])
+    return reader().schema(declared).option("enforceSchema", False).csv(path)
 
 
 def _quoted_newlines(spark: SparkSession, path: str) -> bool:

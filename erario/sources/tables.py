@@ -32,16 +32,16 @@ def run_cleaning(raw: DataFrame, out: Store, null_text: str | None = None) -> Pr
 
     Raw text is kept once in columnar form: the profile reads single columns of it many
     times, which a CSV can only answer by parsing every line."""
-    scratch = Store(raw.sparkSession)
-    raw = scratch.save(raw)
-    table = out.save(clean(raw, null_text).df, CLEAN)
-    analytic = out.save(apply_filter(table, MODELLING_FILTER), ANALYTIC)
-    removed = raw.count() - table.count()
-    profile = before_and_after(
-        profile_raw(raw, scratch), profile_clean(table, scratch, duplicates=removed)
-    )
-    # A few hundred rows: one file for the reader's sake.
-    profile.repartition(1).write.mode("overwrite").json(out.path(PROFILE))
+    with Store.scratch(raw.sparkSession) as scratch:
+        raw = scratch.save(raw)
+        table = out.save(clean(raw, null_text).df, CLEAN)
+        analytic = out.save(apply_filter(table, MODELLING_FILTER), ANALYTIC)
+        removed = raw.count() - table.count()
+        profile = before_and_after(
+            profile_raw(raw, scratch), profile_clean(table, scratch, duplicates=removed)
+        )
+        # A few hundred rows: one file for the reader's sake.
+        profile.repartition(1).write.mode("overwrite").json(out.path(PROFILE))
     return Processed(table, analytic, out.spark.read.json(out.path(PROFILE)), removed)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,8 @@ _local_roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one in local mode only."""
+    """The shared folder named by the cluster; a temporary one in local mode only, where the
+    driver and the tasks are one process."""
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_SETTING, None) or sc.getCheckpointDir()
     if named:
@@ -41,6 +44,17 @@ class Store:
         self.spark = spark
         self.root = (root or f"{shared_dir(spark)}/erario/{uuid.uuid4().hex}").rstrip("/")
 
+    @classmethod
+    @contextmanager
+    def scratch(cls, spark: SparkSession) -> Iterator[Store]:
+        """A fresh store whose tables go when the block ends; nothing outside it is touched."""
+        store = cls(spark)
+        try:
+            yield store
+        finally:
+            root = spark._jvm.org.apache.hadoop.fs.Path(store.root)
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -156,8 +156,50 @@ def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_info(spark, models.out)
 
 
+_COUNTED = ("n_samples", "n_train", "n_test", "n_without_target", "cv_folds", "target")
+
+
+def _train_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts both trainings report about their rows."""
+    models = Models.of(spark, sf_dir)
+    facts = models.regression.facts.unionByName(models.classification.facts)
+    return facts.where(F.col("fact").isin(*_COUNTED))
+
+
+def _train_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate has its metrics, from the folds and from the test part; places are dense."""
+    models = Models.of(spark, sf_dir)
+    rows = models.regression.comparison.unionByName(models.classification.comparison)
+    return rows.groupBy("task", "model", "stage").agg(
+        F.count("mean").alias("metrics"), F.count_if(F.col("place").between(1, 2)).alias("placed"))
+
+
+def _score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows: all of them, each with a finite prediction, labels as the probability says."""
+    models = Models.of(spark, sf_dir)
+    parts = []
+    for task in ("regression", "classification"):
+        scored = _score(task)(spark, sf_dir)
+        good = F.coalesce(F.abs(F.col("prediction")) < float("inf"), F.lit(False))
+        if task == "classification":
+            p = F.col("probability_positive")
+            good &= p.between(0, 1) & (F.col("prediction") == (p > 0.5).cast("int"))
+        fitted = getattr(models, task).fitted
+        from_memory = (predict_regression if task == "regression" else predict_classification)(
+            fitted, models.stage.clean)
+        same = scored.agg(F.sum(F.round("prediction", 6).cast("decimal(38,6)")).alias("s")).join(
+            from_memory.agg(F.sum(F.round("prediction", 6).cast("decimal(38,6)")).alias("t")), F.lit(True))
+        parts.append(scored.agg(F.count("*").alias("n"), F.count_if(good).alias("n_good")).join(
+            same.select((F.col("s") == F.col("t")).alias("reload_equals_memory")), F.lit(True))
+            .select(F.lit(task).alias("task"), "n", "n_good", "reload_equals_memory"))
+    return parts[0].unionByName(parts[1])
+
+
 def learning_queries() -> dict[str, Query]:
     return {
+        "train_facts": _train_facts,
+        "train_shape": _train_shape,
+        "score_checks": _score_checks,
         "standardise": over_clean(_standardise),
         "impute_mode": over_clean(lambda df: features.modes(value_counts(df, TEXTS))),
         "onehot_levels": over_clean(
@@ -251,5 +293,21 @@ def learning_oracle() -> dict[str, str]:
         "sample_stratified": _with(
             f"{_SIZES} SELECT alta_ejecucion, CAST(greatest(1, round_even(3000 * m / n, 0)) AS BIGINT) AS n FROM sizes"),
     }
+    sizes = ("SELECT count(*) AS n, count({t}) AS known, count({t}) - CAST(ceil(count({t}) * 0.2e0) AS BIGINT) AS train FROM fit")
+    facts = " UNION ALL ".join(
+        f"SELECT '{task}' AS task, '{fact}' AS fact, {value} AS value FROM ({sizes.format(t=target)})"
+        for task, target in (("regression", fixed.REGRESSION_TARGET), ("classification", fixed.CLASSIFICATION_TARGET))
+        for fact, value in (
+            ("n_samples", "CAST(known AS VARCHAR)"), ("n_train", "CAST(train AS VARCHAR)"),
+            ("n_test", "CAST(known - train AS VARCHAR)"), ("n_without_target", "CAST(n - known AS VARCHAR)"),
+            ("cv_folds", f"'{CONFIG.n_folds}'"), ("target", f"'{target}'")))
+    o["train_facts"] = _with(f"{fit} {facts}")
+    o["train_shape"] = (
+        "SELECT task, model, stage, CAST(m AS BIGINT) AS metrics, CAST(m AS BIGINT) AS placed FROM (VALUES ('regression', 'elasticnet', 3), "
+        "('regression', 'hist_gbr', 3), ('classification', 'logistic_balanced', 5), ('classification', 'hist_gbc', 5)) t(task, model, m), "
+        "(VALUES ('cv'), ('test')) s(stage)")
+    o["score_checks"] = _with(
+        "done AS (SELECT count(*) AS n FROM clean) SELECT task, n, n AS n_good, true AS reload_equals_memory "
+        "FROM done, (VALUES ('regression'), ('classification')) t(task)")
     o["onehot_prepared"] = _with(f"{fit}, {fit_counts}, {placed} {prepared}")
     return o

@@ -329,6 +329,15 @@ def base_oracle() -> dict[str, str]:
     o["views_by_sql"] = on_star(
         "SELECT entidad_federativa, count(*) AS n, CAST(sum(CASE WHEN sin_pago THEN 1 ELSE 0 END) AS BIGINT) AS unpaid "
         "FROM fact GROUP BY entidad_federativa")
+    o["csv_read"] = o["clean_types"]
+    o["stage_clean"] = on_clean(
+        "SELECT id_clave_cartera, monto_aprobado, monto_modificado, monto_pagado, ciclo, tipo_gasto FROM clean")
+    o["stage_analytic"] = o["modelling_source"] = o["filter_programable"]
+    o["olap_source"] = o["filter_olap"]
+    o["profile_before_after"] = on_clean(
+        "SELECT 'entrada' AS stage, 'n_filas' AS metric, CAST((SELECT count(*) FROM lens) AS DOUBLE) AS value "
+        "UNION ALL SELECT 'limpio', 'n_filas', CAST((SELECT count(*) FROM clean) AS DOUBLE) "
+        "UNION ALL SELECT 'limpio', 'duplicados_eliminados', CAST((SELECT count(*) FROM lens) - (SELECT count(*) FROM clean) AS DOUBLE)")
     o["axis_capitulo_all"] = o["view_capitulo"]
     o["all_views_by_sql"] = " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS n FROM ({o['view_kpis' if axis == 'global' else f'view_{axis}']})"

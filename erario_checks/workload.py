@@ -25,6 +25,8 @@ from erario.plans.star import (
 )
 from erario.plans.views import modelling_star, register_views, star, view
 from erario.sources.lens import lens, raw_lens
+from erario.sources.raw import read_raw_csv
+from erario.sources.tables import Processed, load_modelling_frame, load_olap_source, run_cleaning
 from erario.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,20 @@ class Stage:
     def clean(self) -> DataFrame:
         return self.store.save(clean(lens(self.spark, self.sf_dir)).df, "limpio")
 
+    @cached_property
+    def csv(self) -> str:
+        """The budget lines as several CSV files, as a publisher would deliver them."""
+        path = self.store.path("csv")
+        rows = lens(self.spark, self.sf_dir)
+        rows.repartition(4).write.option("header", True).option("escape", '"').csv(path)
+        return path
+
+    @cached_property
+    def processed(self) -> tuple[Processed, Store]:
+        """The CSV files cleaned and profiled into stored tables."""
+        out = Store(self.spark)
+        return run_cleaning(read_raw_csv(self.spark, self.csv), out), out
+
     @cached_property
     def warehouse(self) -> Warehouse:
         return build_warehouse(self.clean, self.store)
@@ -133,6 +149,24 @@ def _all_views_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in names))
 
 
+def _csv_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty lines written as CSV files, read back and typed."""
+    path = Store(spark).path("csv")
+    raw_lens(spark, sf_dir).repartition(3).write.option("header", True).option("escape", '"').csv(path)
+    return typed(read_raw_csv(spark, path)).select(
+        "ciclo", "id_clave_cartera", "id_capitulo", "monto_aprobado")
+
+
+def _stage(choose: Callable[[Stage], DataFrame]) -> Query:
+    return lambda s, d: choose(Stage.of(s, d)).select(*LINE, "ciclo", "tipo_gasto")
+
+
+def _before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Stage.of(spark, sf_dir).processed[0].profile
+    return found.where("section = 'forma' and metric in ('n_filas', 'duplicados_eliminados')").select(
+        "stage", "metric", "value")
+
+
 def base_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "lens": on_lens(lambda df: df),
@@ -155,6 +189,12 @@ def base_queries() -> dict[str, Query]:
     ):
         q[short] = on_lens(lambda df, name=name: apply_filter(clean(df).df, name).select(
             *LINE, "ciclo", "tipo_gasto"))
+    q["csv_read"] = _csv_read
+    q["stage_clean"] = _stage(lambda st: st.processed[0].clean)
+    q["stage_analytic"] = _stage(lambda st: st.processed[0].analytic)
+    q["olap_source"] = _stage(lambda st: load_olap_source(st.spark, st.processed[1]))
+    q["modelling_source"] = _stage(lambda st: load_modelling_frame(st.spark, st.processed[1]))
+    q["profile_before_after"] = _before_and_after
     q["filter_counts"] = _profile(lambda df: profile.filter_measures())
 
     for name in NUMBERED:
