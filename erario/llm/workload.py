@@ -87,7 +87,13 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op6_metric_join": METRIC_JOIN_SQL, "op10_bitsliced_top_k": TOP_K_SQL}
+    """SQL for those that it can express, in bearable time on whole tables."""
+    return {
+        "op3_line_templates": LINES_SQL,
+        "op6_metric_join": METRIC_JOIN_SQL,
+        "op8_window_removal": WINDOWS_SQL,
+        "op10_bitsliced_top_k": TOP_K_SQL,
+    }
 
 
 METRIC_JOIN_SQL = """
@@ -118,3 +124,63 @@ WITH v AS (
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
+
+LINES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), line AS (
+  SELECT doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM d
+), masked AS (
+  SELECT *, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM line
+), parsed AS (
+  SELECT *, array_to_string(ts, ' ') AS known, array_to_string(list_concat([CAST(len(ts) AS VARCHAR)], ts[1:3]), ' ') AS leaf
+  FROM masked WHERE len(ts) > 0
+), leaves AS (SELECT leaf FROM parsed GROUP BY leaf HAVING count(DISTINCT text) >= 5
+), each AS (
+  SELECT leaf, known, first(ts) AS ts, count(DISTINCT text) AS docs, min(doc_id) AS first_doc
+  FROM parsed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, known
+), token AS (
+  SELECT leaf, known, docs, unnest(ts) AS token, generate_subscripts(ts, 1) AS place FROM each
+), often AS (SELECT leaf, place, token FROM token GROUP BY leaf, place, token HAVING sum(docs) >= 5
+), typed AS (
+  SELECT token.leaf, known, avg(CASE WHEN often.token IS NULL THEN 0 ELSE 1 END) AS share,
+    string_agg(coalesce(often.token, '<*>'), ' ' ORDER BY place) AS pattern
+  FROM token LEFT JOIN often USING (leaf, place, token) GROUP BY token.leaf, known
+), template AS (
+  SELECT each.known, docs, first_doc,
+    CASE WHEN share >= 0.5 THEN 't ' || each.leaf || '|' || pattern ELSE 'l ' || each.known END AS template
+  FROM each JOIN typed ON typed.leaf = each.leaf AND typed.known = each.known
+), recurring AS (
+  SELECT template, min(first_doc) AS first_doc FROM template GROUP BY template HAVING sum(docs) >= 5
+), gone AS (
+  SELECT parsed.doc_id, parsed.no FROM parsed JOIN template ON template.known = parsed.known
+  JOIN recurring ON recurring.template = template.template WHERE parsed.doc_id <> recurring.first_doc
+), kept AS (
+  SELECT line.doc_id, count(gone.no) AS n_removed, string_agg(raw, chr(10) ORDER BY line.no) FILTER (WHERE gone.no IS NULL) AS text
+  FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.no = line.no GROUP BY line.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE len(ls) END AS n_lines, n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+WINDOWS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), word AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)
+), rep AS (
+  SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)
+), marked AS (
+  SELECT word.doc_id, word.j, word, word.j - max(rep.i) OVER (PARTITION BY word.doc_id ORDER BY word.j) <= 34 AS gone
+  FROM word LEFT JOIN rep ON rep.doc_id = word.doc_id AND rep.i = word.j
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone IS DISTINCT FROM true) AS text FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

@@ -119,7 +119,8 @@ def test_scores_ignore_labels_of_held_out_rows(labelled, spark):
 def test_query_matches_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     result = con.sql(llm_oracle()[name])
     names = [c[0] for c in result.description]
     assert sorted(map(tuple, llm_queries()[name](spark, sf).select(*names).collect())) == sorted(result.fetchall())
