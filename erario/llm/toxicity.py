@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ INSULTS = (
     "disgusting", "clown", "fool", "jerk", "coward", "liar", "filth", "vermin", "imbecile", "cretin",
 )
 ROUNDS = 4
+SKETCHES = 4
 EDGE = 1e-4
 
 
@@ -79,10 +81,40 @@ def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hashes of a text's three-word shingles, by several seeds."""
+    for batch in batches:
+        keys = [[] for _ in range(SKETCHES)]
+        for text in batch.column(0).cast(pa.binary()):
+            words = text.as_py().split()
+            shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+            for seed, key in enumerate(keys):
+                key.append(min(xxhash.xxh3_64_intdigest(s, seed=seed) >> 1 for s in shingles))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *(pa.array(k, pa.int64()) for k in keys)],
+            names=["text", "toxic", *(f"k{i}" for i in range(SKETCHES))],
+        )
+
+
+def without_copies(sample: DataFrame, store: Store) -> DataFrame:
+    """One row of each group of rows that share a sketch, by one sketch after the other: copies
+    and near copies would lend their words the weight of their number."""
+    names = [f"k{i}" for i in range(SKETCHES)]
+    rows = sample.select("text", "toxic").mapInArrow(
+        _sketches, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    rows = store.save(rows)
+    left = rows.select(*names, F.xxhash64("text").alias("t"))
+    for name in names:
+        others = [n for n in (*names, "t") if n != name]
+        left = left.groupBy(name).agg(F.min(F.struct(*others)).alias("s")).select(name, "s.*")
+    kept = store.save(left.select("t").distinct())  # at most the sample's rows
+    one = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(kept), "t", "left_semi")
+    return store.save(one.groupBy("t").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+
+
 def mine(sample: DataFrame, store: Store, most: int = TERMS) -> list[str]:
-    """Terms of toxic rows that chance does not explain, the clearest first.  Copies of a text
-    count once."""
-    texts = store.save(sample.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+    """Terms of toxic rows that chance does not explain, the clearest first."""
+    texts = without_copies(sample, store)
     size = texts.agg(F.count("*"), F.sum("toxic")).head()
     n, bad = size[0], size[1] or 0
     if not 0 < bad < n:
