@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import Memory, text_or_empty
 
 ROWS_AT_ONCE = 2_000
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 NEVER = 1 << 60
 #: White space behind a blank (or the end there) can share a piece with that blank.
 _BLANKS = re.compile(r" (?:\s|\Z)")
