@@ -16,6 +16,8 @@ from erario.store import Store
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bits of a map of key hashes (8 MB).
+MAP_BITS = 1 << 26
 _shipped: set[str] = set()
 #: Rows that go to a Python worker at once.  Texts are long, and both sides hold a batch several
 #: times over; Spark's default suits narrow rows.
@@ -45,6 +47,30 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows that may match one of the keys in these columns, and those that cannot, so that only
+    the former need a shuffle.  The map of the keys' hashes has a fixed size, whatever their number."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
+    parts = (
+        keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__map"))
+    )
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0, F.lit(False))
+    tested = (
+        rows.withColumn("__bucket", F.bitmap_bucket_number(place))
+        .join(F.broadcast(parts), "__bucket", "left").withColumn("__may", may)
+    )
+    return tuple(tested.where(c).drop("__bucket", "__map", "__may") for c in ("__may", "not __may"))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among those given; rows without a doc_id stay."""
+    maybe, others = split_by_keys(docs, gone, ("doc_id",))
+    return maybe.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(others)
+
+
 def components(links: DataFrame, store: Store) -> DataFrame:
     """(node, component) of every node in the links (a, b): the smallest node it can reach.
 

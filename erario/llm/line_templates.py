@@ -20,19 +20,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from erario.store import Store
 
+from .common import split_by_keys
 from .passages import DOC, SAME_DOC, keyed, with_texts
 
 LEADING = 3
 MIN_DOCS = 5
 MIN_FIXED = 0.5
-#: Bits of the map of document hashes (8 MB).
-MAP_BITS = 1 << 26
 ANY = b"<*>"
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 
@@ -102,7 +101,7 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
             F.min(F.struct(*DOC, "no")).alias("s"), F.min("doc_id").alias("first"))
         .join(spread, "line").select("leaf", "line", "docs", "first", "s.*")
     )
-    chosen = split_by_keys(keyed(docs), each)[0]
+    chosen = split_by_keys(keyed(docs), each, DOC)[0]
     texts = _tokens(with_texts(chosen, each, F.struct("line", "no")))
     parsed = store.save(
         each.select("leaf", "line", "docs", "first").join(texts, "line")
@@ -137,28 +136,6 @@ def dropped(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFram
     return store.save(found.join(again, "line").where(other).select(*DOC, "no"))
 
 
-def _place() -> Column:
-    return F.pmod(F.xxhash64(*DOC), F.lit(MAP_BITS))
-
-
-def split_by_keys(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that may match one of the keys (doc_id, tk), and those that cannot, so that only
-    the former are shuffled.  The map of the keys' hashes has a fixed size, whatever their number."""
-    place = F.col("place")
-    parts = (
-        keys.select(_place().alias("place")).groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
-    )
-    position = F.bitmap_bit_position(_place())
-    byte = F.conv(F.hex(F.substring(F.col("map"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0, F.lit(False))
-    tested = (
-        rows.withColumn("bucket", F.bitmap_bucket_number(_place()))
-        .join(F.broadcast(parts), "bucket", "left").withColumn("may", bit).drop("bucket", "map")
-    )
-    return tested.where("may").drop("may"), tested.where("not may").drop("may")
-
-
 def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for text, numbers in zip(texts, gone, strict=True):
@@ -175,7 +152,7 @@ def drop_recurring(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> D
     gone = store.save(dropped(docs, store, min_docs).groupBy(*DOC).agg(F.collect_list("no").alias("gone")))
     rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
     without = F.pandas_udf(_without, StringType())
-    maybe, others = split_by_keys(rows, gone)
+    maybe, others = split_by_keys(rows, gone, DOC)
     joined = maybe.alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left").select("row", "gone")
     changed = joined.select("row", without("row.text", "gone").alias("text"))
     out = changed.unionByName(others.select("row", F.col("row.text").alias("text")))

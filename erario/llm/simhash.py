@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import components, text_or_empty
+from .common import components, text_or_empty, without_ids
 from .metric_join import settle
 
 SEED = 42
@@ -205,4 +205,4 @@ def keep_one(docs: DataFrame, store: Store, words: int = 4, bits: int = 4) -> Da
     doc_id stay; of rows with an equal doc_id all do."""
     found = near_duplicates(docs, store, words, bits)
     gone = store.save(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone)

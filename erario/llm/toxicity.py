@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import text_or_empty
+from .common import text_or_empty, without_ids
 
 #: Labelled rows that teach (those with the smallest hashes), terms kept, and voters.
 SAMPLE_ROWS, TERMS, VOTERS = 20_000, 400, 60
@@ -283,4 +283,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
     """The documents that are not predicted toxic."""
     found = score(docs, labels, store)
     gone = store.save(found.where("predicted = 1").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone)
