@@ -101,7 +101,7 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
             F.min(F.struct(*DOC, "no")).alias("s"), F.min("doc_id").alias("first"))
         .join(spread, "line").select("leaf", "line", "docs", "first", "s.*")
     )
-    chosen = split_by_keys(keyed(docs), each, DOC)[0]
+    chosen = split_by_keys(keyed(docs), each, DOC)[0].hint("merge")  # one plan at every size
     texts = _tokens(with_texts(chosen, each, F.struct("line", "no")))
     parsed = store.save(
         each.select("leaf", "line", "docs", "first").join(texts, "line")
@@ -153,7 +153,7 @@ def drop_recurring(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> D
     rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
     without = F.pandas_udf(_without, StringType())
     maybe, others = split_by_keys(rows, gone, DOC)
-    joined = maybe.alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left").select("row", "gone")
+    joined = maybe.hint("merge").alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left").select("row", "gone")
     changed = joined.select("row", without("row.text", "gone").alias("text"))
     out = changed.unionByName(others.select("row", F.col("row.text").alias("text")))
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
