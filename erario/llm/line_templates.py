@@ -2,8 +2,9 @@
 
 A tree of fixed depth parses every line: by its number of tokens, then by its leading tokens, where
 a token that holds a digit stands for any other.  In a leaf, a token is a fixed part of its position
-if enough documents have it there; other tokens become variable fields.  A line whose tokens are
-mostly fixed belongs to the template of its fixed tokens, any other is a template of its own.  Lines
+if enough documents have it there, in number and as a share (``COMMON``) of the leaf's documents, so
+that the values of a field do not become fixed as the corpus grows; other tokens become variable
+fields.  A line whose tokens are mostly fixed belongs to the template of its fixed tokens, any other is a template of its own.  Lines
 of templates that recur in enough documents are dropped everywhere but in the first such document
 (by doc_id), so no text is lost wholly.
 
@@ -32,6 +33,8 @@ from .passages import DOC, SAME_DOC, keyed, with_texts
 LEADING = 3
 MIN_DOCS = 5
 MIN_FIXED = 0.5
+#: Of a leaf's documents, the share that must have a token in its place for it to be fixed.
+COMMON = 0.25
 ANY = b"<*>"
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 
@@ -93,8 +96,8 @@ def _tokens(spans: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
     """(line, template, first): lines of recurring templates, and the first document of each."""
     by_leaf = found.select("leaf", "tk").distinct().groupBy("leaf").count()
-    leaves = store.save(by_leaf.where(F.col("count") >= min_docs).select("leaf"))
-    some = store.save(found.join(leaves, "leaf"))
+    leaves = store.save(by_leaf.where(F.col("count") >= min_docs))
+    some = store.save(found.join(leaves.select("leaf"), "leaf"))
     spread = some.select("line", "tk").distinct().groupBy("line").agg(F.count("*").alias("docs"))
     each = store.save(
         some.groupBy("leaf", "line").agg(
@@ -107,9 +110,11 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
         each.select("leaf", "line", "docs", "first").join(texts, "line")
         .select("leaf", "line", "docs", "first", F.posexplode("tokens").alias("at", "token"))
     )
+    often = store.save(
+        parsed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs))
     fixed = store.save(
-        parsed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
-        .where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
+        often.join(leaves, "leaf").where(F.col("n") >= COMMON * F.col("count"))
+        .select("leaf", "at", "token", F.lit(True).alias("fixed"))
     )
     pattern = F.transform(F.sort_array(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"])
     known = (
