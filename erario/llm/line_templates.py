@@ -6,7 +6,8 @@ if enough documents have it there, in number and as a share (``COMMON``) of the
 that the values of a field do not become fixed as the corpus grows; other tokens become variable
 fields.  A line whose tokens are mostly fixed belongs to the template of its fixed tokens, any other is a template of its own.  Lines
 of templates that recur in enough documents are dropped everywhere but in the first such document
-(by doc_id), so no text is lost wholly.
+(by doc_id), so no text is lost wholly.  With ``min_long``, a long line is also dropped if it recurs
+by itself in that many documents, as it is no phrase that writers find on their own.
 
 Copies of a whole text count as one document.  Lines without tokens stay; so do empty and null
 texts.  A row without a doc_id is never the first document, unless no row of the template has one.
@@ -32,6 +33,8 @@ from .passages import DOC, SAME_DOC, keyed, with_texts
 
 LEADING = 3
 MIN_DOCS = 5
+#: Lines of so many tokens are long, and for how many documents they recur, where that is asked for.
+LONG, MIN_LONG = 50, 2
 MIN_FIXED = 0.5
 #: Of a leaf's documents, the share that must have a token in its place for it to be fixed.
 COMMON = 0.25
@@ -49,16 +52,22 @@ def leaf_of(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
 
 
+def is_long(line: bytes) -> bool:
+    tokens = line.split(b" ")
+    return len(tokens) >= LONG and 2 * tokens.count(ANY) < len(tokens)
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(leaf, line, doc_id, tk, no) of every line that has tokens; leaf and line are hashes."""
+    """(leaf, line, doc_id, tk, no, long) of every line that has tokens; leaf and line are hashes, and
+    lines that are mostly variable are not long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, no, leaf, line = [], [], [], []
+            of, no, leaf, line, long = [], [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 for j, raw in enumerate(text.as_py().split(b"\n")):
                     if known := masked(raw):
@@ -66,13 +75,15 @@ def lines(docs: DataFrame) -> DataFrame:
                         no.append(j)
                         leaf.append(leaf_of(known))
                         line.append(xxhash.xxh3_64_intdigest(known))
+                        long.append(is_long(known))
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [_signed(leaf), _signed(line), batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32())],
-                names=["leaf", "line", "doc_id", "tk", "no"],
+                [_signed(leaf), _signed(line), batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()),
+                 pa.array(long, pa.bool_())],
+                names=["leaf", "line", "doc_id", "tk", "no", "long"],
             )
 
-    return keyed(docs).mapInArrow(run, "leaf long, line long, doc_id long, tk int, no int")
+    return keyed(docs).mapInArrow(run, "leaf long, line long, doc_id long, tk int, no int, long boolean")
 
 
 def _tokens(spans: DataFrame) -> DataFrame:
@@ -133,10 +144,18 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
     return store.save(typed.select("line", "template").join(often, "template"))
 
 
-def dropped(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
+def long_lines(found: DataFrame, min_long: int) -> DataFrame:
+    """(line, first): long lines that recur by themselves, and the first document of each."""
+    counted = found.where("long").groupBy("line").agg(F.countDistinct("tk").alias("docs"), F.min("doc_id").alias("first"))
+    return counted.where(F.col("docs") >= min_long).select("line", "first")
+
+
+def dropped(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS, min_long: int | None = None) -> DataFrame:
     """(doc_id, tk, no) of the lines to drop."""
     found = store.save(lines(docs))
-    again = recurring(docs, found, store, min_docs)
+    again = recurring(docs, found, store, min_docs).select("line", "first")
+    if min_long is not None:
+        again = store.save(again.unionByName(long_lines(found, min_long).join(again, "line", "left_anti")))
     other = ~F.coalesce(F.col("doc_id") == F.col("first"), F.col("first").isNull())
     return store.save(found.join(again, "line").where(other).select(*DOC, "no"))
 
@@ -151,10 +170,12 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def drop_recurring(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(
+    docs: DataFrame, store: Store, min_docs: int = MIN_DOCS, min_long: int | None = None
+) -> DataFrame:
     """The documents with recurring lines dropped; every row and column stays, and ``n_chars``,
     where there is one, counts anew."""
-    gone = store.save(dropped(docs, store, min_docs).groupBy(*DOC).agg(F.collect_list("no").alias("gone")))
+    gone = store.save(dropped(docs, store, min_docs, min_long).groupBy(*DOC).agg(F.collect_list("no").alias("gone")))
     rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
     without = F.pandas_udf(_without, StringType())
     maybe, others = split_by_keys(rows, gone, DOC)

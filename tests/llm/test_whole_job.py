@@ -15,3 +15,14 @@ def test_fields_with_common_values_are_variable(spark, store):
         lines = [f"Filed today under topic Topic{chr(65 + i)} by Name{chr(65 + j)}" for i in range(n) for j in range(n)]
         table = spark.createDataFrame([(i, f"{x}\n{prose(50 + i, 12)}") for i, x in enumerate(lines)], "doc_id long, text string")
         assert removed(line_templates.summary(table, store)) == [(i, int(i > 0)) for i in range(n * n)]
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    import corpus_pipeline
+
+    long, short, numbers = prose(90, 60), prose(91, 20), "7 " * 60
+    table = spark.createDataFrame(
+        [(i, f"{prose(92 + i, 12)}\n{long}\n{short}\n{numbers}") for i in range(3)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_recurring_lines(spark, table, "").collect()}
+    assert [long in left[i] for i in range(3)] == [True, False, False]
+    assert all(short in left[i] and numbers in left[i] for i in range(3))
