@@ -9,7 +9,8 @@ of templates that recur in enough documents are dropped everywhere but in the fi
 (by doc_id), so no text is lost wholly.  With ``min_long``, a long line is also dropped if it recurs
 by itself in that many documents, as it is no phrase that writers find on their own.
 
-Copies of a whole text count as one document.  Lines without tokens stay; so do empty and null
+Copies of a whole text count as one document, and so do several lines of a template or with a token in
+one text.  Lines without tokens stay; so do empty and null
 texts.  A row without a doc_id is never the first document, unless no row of the template has one.
 """
 
@@ -104,12 +105,35 @@ def _tokens(spans: DataFrame) -> DataFrame:
     return spans.select("text", "spans").mapInArrow(run, "line long, tokens array<string>")
 
 
+def _several(some: DataFrame) -> DataFrame:
+    """(set, held, line): the lines of each set of lines that documents have together in one leaf,
+    and how many documents hold that set.  The lines of one document meet in a task."""
+    sets = (
+        some.groupBy("leaf", "tk").agg(F.sort_array(F.collect_set("line")).alias("lines")).where(F.size("lines") > 1)
+        .groupBy("leaf", "lines").agg(F.count("*").alias("held")).withColumn("set", F.monotonically_increasing_id())
+    )
+    return sets.select("set", "held", F.explode("lines").alias("line"))
+
+
+def _documents(rows: DataFrame, several: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, first): the documents with a line of the key, from its lines' own numbers (``docs``)
+    less what documents with several of them count too often."""
+    again = (
+        several.join(rows.select(*keys, "line"), "line").groupBy(*keys, "set")
+        .agg(((F.count("*") - 1) * F.first("held")).alias("again")).where("again > 0")
+        .groupBy(*keys).agg(F.sum("again").alias("again"))
+    )
+    total = rows.groupBy(*keys).agg(F.sum("docs").alias("n"), F.min("first").alias("first"))
+    return total.join(again, keys, "left").select(*keys, (F.col("n") - F.coalesce("again", F.lit(0))).alias("n"), "first")
+
+
 def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
     """(line, template, first): lines of recurring templates, and the first document of each."""
     by_leaf = found.select("leaf", "tk").distinct().groupBy("leaf").count()
     leaves = store.save(by_leaf.where(F.col("count") >= min_docs))
     some = store.save(found.join(leaves.select("leaf"), "leaf"))
     spread = some.select("line", "tk").distinct().groupBy("line").agg(F.count("*").alias("docs"))
+    several = store.save(_several(some))
     each = store.save(
         some.groupBy("leaf", "line").agg(
             F.min(F.struct(*DOC, "no")).alias("s"), F.min("doc_id").alias("first"))
@@ -121,8 +145,7 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
         each.select("leaf", "line", "docs", "first").join(texts, "line")
         .select("leaf", "line", "docs", "first", F.posexplode("tokens").alias("at", "token"))
     )
-    often = store.save(
-        parsed.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs))
+    often = store.save(_documents(parsed, several, ["leaf", "at", "token"]).where(F.col("n") >= min_docs))
     fixed = store.save(
         often.join(leaves, "leaf").where(F.col("n") >= COMMON * F.col("count"))
         .select("leaf", "at", "token", F.lit(True).alias("fixed"))
@@ -139,8 +162,8 @@ def recurring(docs: DataFrame, found: DataFrame, store: Store, min_docs: int = M
     typed = store.save(known.select(
         "line", "docs", "first", F.when(F.col("share") >= MIN_FIXED, general).otherwise(F.col("line")).alias("template")
     ))
-    often = typed.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
-    often = store.save(often.where(F.col("docs") >= min_docs).select("template", "first"))
+    often = _documents(typed, several, ["template"])
+    often = store.save(often.where(F.col("n") >= min_docs).select("template", "first"))
     return store.save(typed.select("line", "template").join(often, "template"))
 
 

@@ -26,3 +26,15 @@ def test_long_lines_recur_from_two_documents(spark):
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_recurring_lines(spark, table, "").collect()}
     assert [long in left[i] for i in range(3)] == [True, False, False]
     assert all(short in left[i] and numbers in left[i] for i in range(3))
+
+
+def test_several_lines_of_a_document_count_once(spark, store):
+    """Three lines of one template a document; other documents have one line of the leaf."""
+
+    def table(n):
+        own = ["\n".join(f"Filed today under topic T{a}{chr(97 + i)} by N{a}{chr(97 + i)}" for a in "xyz") for i in range(n)]
+        rest = [f"Filed today under {prose(200 + i, 4)}" for i in range(5 - n)]
+        return spark.createDataFrame(list(enumerate(own + rest)), "doc_id long, text string")
+
+    assert removed(line_templates.summary(table(2), store)) == [(i, 0) for i in range(5)]
+    assert removed(line_templates.summary(table(5), store)) == [(i, 3 * (i > 0)) for i in range(5)]
