@@ -84,7 +84,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 names=["leaf", "line", "doc_id", "tk", "no", "long"],
             )
 
-    return keyed(docs).mapInArrow(run, "leaf long, line long, doc_id long, tk int, no int, long boolean")
+    return keyed(docs).mapInArrow(run, "leaf long, line long, doc_id long, tk long, no int, long boolean")
 
 
 def _tokens(spans: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def drop_recurring(
     """The documents with recurring lines dropped; every row and column stays, and ``n_chars``,
     where there is one, counts anew."""
     gone = store.save(dropped(docs, store, min_docs, min_long).groupBy(*DOC).agg(F.collect_list("no").alias("gone")))
-    rows = docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
     without = F.pandas_udf(_without, StringType())
     maybe, others = split_by_keys(rows, gone, DOC)
     joined = maybe.hint("merge").alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left").select("row", "gone")

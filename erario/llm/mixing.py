@@ -106,7 +106,7 @@ def mix(
     twice the source's words).
     """
     sized = store.save(docs.select(
-        "doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), "source", word_count().alias("size"),
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), "source", word_count().alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
     ))
     counts = store.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -174,7 +174,7 @@ def mixed_documents(
         mix(docs, store, weight, most, seed).groupBy("doc_id", "tk").agg(F.max("copies").alias("copies"))
         .where("copies > 0")
     )
-    rows = docs.select(F.col("doc_id").alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
     same = F.expr("a.id <=> b.doc_id and a.tk = b.tk")
     return rows.alias("a").join(taken.alias("b"), same).select("row", each).select("row.*")

@@ -9,7 +9,7 @@ One row an anchor therefore stands for a stretch of windows:
 * otherwise one stretch of each kind is looked at window by window, by the operator's own method.
 
 No window is lost by this, and only the last case costs work by the window.  Documents are told
-apart by doc_id (which may be null) and a hash of the text; equal rows count as often as they occur.
+apart by doc_id (which may be null) and a 64-bit hash of the text; equal rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def stretches(x: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash(F.coalesce("text", F.lit(""))).alias("tk"), text_or_empty())
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), text_or_empty())
 
 
 def anchors(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], n: int, k: int) -> DataFrame:
@@ -112,7 +112,7 @@ def anchors(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], n: int, k: i
                 names=["h", "c", "doc_id", "tk", "lo", "hi"],
             )
 
-    return keyed(docs).mapInArrow(run, "h long, c long, doc_id long, tk int, lo long, hi long")
+    return keyed(docs).mapInArrow(run, "h long, c long, doc_id long, tk long, lo long, hi long")
 
 
 def candidates(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], n: int, k: int, store: Store) -> DataFrame:

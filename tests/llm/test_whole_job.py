@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
-from brute import prose
+from brute import prose, repeated_cover, words_of
+from pyspark.sql import functions as F
 
-from erario.llm import line_templates
+from erario.llm import line_templates, mixing, suffix_dedup, window_dedup
 
 
 def removed(found):
@@ -38,3 +39,23 @@ def test_several_lines_of_a_document_count_once(spark, store):
 
     assert removed(line_templates.summary(table(2), store)) == [(i, 0) for i in range(5)]
     assert removed(line_templates.summary(table(5), store)) == [(i, 3 * (i > 0)) for i in range(5)]
+
+
+def test_texts_with_an_equal_32_bit_hash_are_two(spark, store):
+    """Rows without an id whose texts share that hash: a shared passage goes from the one that has it."""
+    passage, other = prose(60, 80), prose(61, 20)
+    ids = spark.range(0, 200000, 1, 8)
+    own = ids.select(F.concat(F.lit(passage + "\n"), "id").alias("text"))
+    rest = ids.select(F.concat(F.lit(other + "\n"), "id").alias("text"))
+    pair = own.alias("a").join(rest.alias("b"), F.hash("a.text") == F.hash("b.text")).select("a.text", "b.text").first()
+    data = [(None, pair[0], "a"), (None, pair[1], "b"), (1, passage, "b")]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    texts = [t for _, t, _ in data]
+    words = repeated_cover([words_of(t) for t in texts], 35)
+    got = window_dedup.remove_repeats(table, store).collect()
+    assert sorted(r.n_removed for r in got) == sorted(map(sum, words))
+    got = suffix_dedup.remove_repeats(table, store).collect()
+    assert sorted(r.n_removed for r in got) == sorted(map(sum, repeated_cover([t.encode() for t in texts], 200)))
+    got = line_templates.drop_recurring(table, store, min_long=2).collect()
+    assert {r.text for r in got} == {pair[0].split("\n")[1], pair[1], passage}
+    assert mixing.mix(table, store, lambda i: 1).select("tk").distinct().count() == 3
