@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from erario.store import Store
 
 from . import (
-    bitsliced, line_templates, metric_join, mixing, prefix_bpe, simhash, suffix_dedup, token_files, toxicity, window_dedup,
+    bitsliced, centroids, fill_middle, line_templates, metric_join, mixing, page_text, prefix_bpe, simhash, suffix_dedup,
+    token_files, toxicity, window_dedup,
 )
 from .common import read_table
 
@@ -71,6 +72,26 @@ def bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(read_table(spark, sf_dir, "embeddings"), Store(spark), asked, k=20)
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(
+        read_table(spark, sf_dir, "embeddings"), Store(spark), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    return centroids.with_inertia(*found)
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(
+        read_table(spark, sf_dir, "documents"), unit="line", seed=7, percent=100, suffix_first=50)
+    digest = {name: F.sha2(c.cast("binary"), 256) for name, c in (
+        ("output_sha256", F.col("output")), ("restored_sha256", fill_middle.restored()))}
+    return cut.withColumns(digest).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract(read_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash_components,
@@ -83,6 +104,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_window_removal": window_removal,
         "op9_prefix_bpe": prefix_bpe_round_trip,
         "op10_bitsliced_top_k": bitsliced_top_k,
+        "op11_centroids": centroid_clusters,
+        "op12_fill_middle": fill_in_middle,
+        "op13_page_text": page_main_text,
     }
 
 
@@ -93,6 +117,8 @@ def llm_oracle() -> dict[str, str]:
         "op6_metric_join": METRIC_JOIN_SQL,
         "op8_window_removal": WINDOWS_SQL,
         "op10_bitsliced_top_k": TOP_K_SQL,
+        "op11_centroids": centroids_sql(),
+        "op12_fill_middle": FILL_MIDDLE_SQL,
     }
 
 
@@ -184,3 +210,52 @@ WITH w AS (
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+FILL_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a,
+    CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM d
+), parts AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+      WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+def centroids_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """A common table a round: assignment to the centroids of the last one, then floors of means."""
+    steps = [f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: CAST(floor({scale} * e) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS j, v FROM kept
+  QUALIFY j < {k}
+)"""]
+    assign = """a{i} AS MATERIALIZED (
+  SELECT row, vec_id, v, d.distance, d.j AS cluster FROM (
+    SELECT kept.row, kept.vec_id, kept.v, min({{'distance': CAST(list_sum(list_transform(list_zip(kept.v, c{i}.v),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'j': c{i}.j}}) AS d FROM kept, c{i} GROUP BY ALL))"""
+    move = """m{i} AS MATERIALIZED (
+  SELECT cluster, list(CAST(q AS BIGINT) ORDER BY place) AS v FROM (
+    SELECT cluster, place, (s - ((s % n) + n) % n) // n AS q FROM (
+      SELECT cluster, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY cluster, place)) GROUP BY cluster
+), c{j} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.cluster = c{i}.j)"""
+    for i in range(rounds):
+        steps += [assign.format(i=i), move.format(i=i, j=i + 1)]
+    steps.append(assign.format(i=rounds))
+    return ", ".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = cluster
+"""
