@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,9 @@
-"""Small budget lines in the full 38-column shape, made by rule."""
+"""Small budget lines in the full 38-column shape, made by rule, and where the test tables lie."""
 
 from erario import fixed
 
+#: Tables of the smallest size.
+SF = "/root/testdata/sf0.001"
 COLUMNS = [fixed.PERIOD, fixed.LINE_KEY, *fixed.AMOUNTS, *fixed.TEXTS, *fixed.NUMERIC_IDS]
 
 

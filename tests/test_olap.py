@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF
+from lines import SF
 from pyspark.sql import functions as F
 
 from erario import fixed

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, difference, duck_rows, spark_rows
-from conftest import SF
+from lines import SF
 
 import __spark_entry__ as e
 

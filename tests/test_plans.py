@@ -4,7 +4,7 @@ import contextlib
 import io
 
 import pytest
-from conftest import SF
+from lines import SF
 
 from erario.plans.olap import query_axis, query_star
 from erario.plans.star import fact_rows
