@@ -211,3 +211,8 @@ BANNED_FEATURES = (
 MAX_LEVELS = 50
 SEED = 42
 TEST_SHARE = 0.2
+# Trees of the boosted candidates; above the number of rows a tenth of them stops the fit.
+BOOSTING_SHAPE = {
+    "leaves": 31, "depth": 8, "leaf_rows": 20, "rate": 0.08, "patience": 10, "tolerance": 1e-7,
+}
+BOOSTING_ROWS_TO_STOP_EARLY = 10_000

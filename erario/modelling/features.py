@@ -147,7 +147,13 @@ def text_stats(
     df: DataFrame, columns: Sequence[str], store: Store, max_levels: int = fixed.MAX_LEVELS
 ) -> tuple[list[TextStat], DataFrame]:
     """Mode and levels per column, and the table of rare levels (name, value)."""
-    counts = store.save(value_counts(df, columns))
+    return _text_stats(store.save(value_counts(df, columns)), columns, max_levels)
+
+
+def _text_stats(
+    counts: DataFrame, columns: Sequence[str], max_levels: int
+) -> tuple[list[TextStat], DataFrame]:
+    """The same from stored counts (name, value, n)."""
     mode = {r["name"]: r["mode"] for r in modes(counts).collect()}  # a row per column
     kept: dict[str, list] = {}
     pooled: set[str] = set()
@@ -174,6 +180,57 @@ def learn(
     return Preparation(tuple(every), tuple(numbers), tuple(text)), rare
 
 
+def learn_folds(
+    df: DataFrame, k: int, store: Store, buffered_rows: int = BUFFERED_ROWS, max_levels: int = fixed.MAX_LEVELS,
+) -> list[tuple[Preparation, DataFrame]]:
+    """What ``learn`` gives for the rows outside each ``fold`` 0…k-1, and last for all rows.
+
+    Levels are counted once, by fold; the counts outside a fold are the total less its own.  Medians,
+    means and deviations of all fits share their passes, so the number of jobs does not grow with k."""
+    numeric, texts, every = feature_columns(df)
+    require_no_leakage(every)
+    outside = {str(f): F.col("fold") != f for f in range(k)} | {"all": F.lit(True)}
+
+    # Texts: the counts of a fit stand under "fit|column".
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in texts]
+    by_fold = (
+        df.select("fold", F.inline(F.array(*cells))).groupBy("name", "value", "fold").agg(F.count("*").alias("n"))
+        if cells else df.sparkSession.createDataFrame([], "name string, value string, fold int, n bigint")
+    )
+    total = by_fold.groupBy("name", "value").agg(
+        *[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f) for f, c in outside.items()])
+    fits = F.array(*[F.struct(F.lit(f"{f}|").alias("fit"), F.col(f).alias("n")) for f in outside])
+    counts = store.save(
+        total.select("name", "value", F.inline(fits)).where("n > 0")
+        .select(F.concat("fit", "name").alias("name"), "value", "n"))
+    stats, rare = _text_stats(counts, [f"{f}|{c}" for f in outside for c in texts], max_levels)
+    rare = store.save(rare)
+
+    # Numbers: a column of a fit is null in the rows of its fold.
+    asked = {f"{f}|{c}": F.when(rows, _double(c)) for f, rows in outside.items() for c in numeric}
+    mid = {}
+    if asked:
+        mid = {r["name"]: r["value"] for r in quantiles(df, asked, [0.5], store, buffered_rows).collect()}
+    filled = {
+        f"{f}|{c}": F.when(rows, F.coalesce(_double(c), F.lit(mid[f"{f}|{c}"])))
+        for f, rows in outside.items() for c in numeric if mid[f"{f}|{c}"] is not None
+    }
+    row = df.agg(
+        F.count("*"), *[F.avg(v).alias(f"mean_{c}") for c, v in filled.items()],
+        *[F.stddev_pop(v).alias(f"std_{c}") for c, v in filled.items()]).first()
+    out = []
+    for f in outside:
+        numbers = tuple(
+            NumericStat(c, mid[n], row[f"mean_{n}"], row[f"std_{n}"] or 1.0)
+            for c in numeric if (n := f"{f}|{c}") in filled)
+        own = tuple(
+            TextStat(t.name[len(f) + 1:], t.mode, t.levels, t.pooled) for t in stats if t.name.startswith(f"{f}|"))
+        of_fit = rare.where(F.startswith("name", F.lit(f"{f}|"))).select(
+            F.substr("name", F.lit(len(f) + 2)).alias("name"), "value")
+        out.append((Preparation(tuple(every), numbers, own), of_fit))
+    return out
+
+
 def standardised(stats: Sequence[NumericStat]) -> list[Column]:
     return [
         ((F.coalesce(_double(s.name), F.lit(s.median)) - F.lit(s.mean)) / F.lit(s.scale))

@@ -80,7 +80,7 @@ class TrainConfig:
     test_share: float = fixed.TEST_SHARE
     seed: int = fixed.SEED
     parallel_fits: int = 2
-    parallel_folds: int = 3
+    parallel_folds: int = 6
 
     @property
     def n_folds(self) -> int:

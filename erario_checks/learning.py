@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ class Models:
     def classification(self):
         return self._train("classification")
 
+    def both(self) -> tuple:
+        """Both tasks, side by side: each is a chain of short jobs."""
+        self.stage.warehouse
+        train = inheritable_thread_target(self.spark)(lambda task: getattr(self, task))
+        with ThreadPoolExecutor(2) as pool:
+            return tuple(pool.map(train, ("regression", "classification")))
+
 
 def _modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and class of the modelling rows."""
@@ -151,7 +160,7 @@ def _score(task: str) -> Query:
 
 def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = Models.of(spark, sf_dir)
-    models.regression, models.classification
+    models.both()
     return model_info(spark, models.out)
 
 
@@ -161,14 +170,16 @@ _COUNTED = ("n_samples", "n_train", "n_test", "n_without_target", "cv_folds", "t
 def _train_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts both trainings report about their rows."""
     models = Models.of(spark, sf_dir)
-    facts = models.regression.facts.unionByName(models.classification.facts)
+    regression, classification = models.both()
+    facts = regression.facts.unionByName(classification.facts)
     return facts.where(F.col("fact").isin(*_COUNTED))
 
 
 def _train_shape_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate has its metrics, from the folds and from the test part; places are dense."""
     models = Models.of(spark, sf_dir)
-    rows = models.regression.comparison.unionByName(models.classification.comparison)
+    regression, classification = models.both()
+    rows = regression.comparison.unionByName(classification.comparison)
     last = max(map(len, CANDIDATES.values()))
     return rows.groupBy("task", "model", "stage").agg(
         F.count("mean").alias("metrics"), F.count_if(F.col("place").between(1, last)).alias("placed"))
@@ -183,6 +194,7 @@ def _train_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows: all of them, each with a finite prediction, labels as the probability says."""
     models = Models.of(spark, sf_dir)
+    models.both()
     parts = []
     for task in ("regression", "classification"):
         scored = _score(task)(spark, sf_dir)
