@@ -7,8 +7,10 @@ significant slice of the sum downward; rows that tie at the boundary are taken b
 
 Vectors that are null or hold null or non-finite components take no part.  Of vectors of different
 length the shorter counts as padded with zeros; an empty one scores 0.  Rows with an equal vec_id
-are candidates of their own, but none of them is a candidate of a query with that id.  Quantised
-components and scores must fit 64 bits.
+are candidates of their own, but none of them is a candidate of a query with that id.  Query rows
+equal in id and vector are one query; different vectors with one id are queries of their own, each with
+its own k rows.  A row without an id is a candidate like any other, the last among equal scores.
+Quantised components and scores must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -141,37 +143,43 @@ def top_k(vectors: DataFrame, store: Store, is_query: Column, k: int = 20, scale
     blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (20 * QUERY_ROWS)))
     block, part = F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)), F.pmod(F.xxhash64("x", "vec_id"), F.lit(parts))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
-    left = rows.select("vec_id", "x", block.alias("block"), each(parts).alias("part"))
-    right = rows.where("is_query").select("vec_id", "x", each(blocks).alias("block"), part.alias("part"))
+    # Ids never pass through a column with nulls, which would turn them into doubles.
+    no_id = F.col("vec_id").isNull().alias("no_id")
+    left = rows.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), no_id, "x", block.alias("block"), each(parts).alias("part"))
+    right = rows.where("is_query").select("vec_id", "x").distinct().select(
+        F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.xxhash64("x").alias("of"),
+        each(blocks).alias("block"), part.alias("part"))
 
     def search(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame(FOUND), *_found(own, asked, k)])[list(FOUND)]
+        return pd.concat([pd.DataFrame(FOUND), *_found(own, asked, k)])[["query_id", "of", "vec_id", "no_id", "score"]]
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(
-        search, "query_id long, vec_id long, score long"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        search, "query_id long, of long, vec_id long, no_id boolean, score long"
+    ).withColumn("vec_id", F.when(~F.col("no_id"), F.col("vec_id")))
+    order = Window.partitionBy("query_id", "of").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
-FOUND = {name: np.zeros(0, np.int64) for name in ("query_id", "vec_id", "score")}
+FOUND = {name: np.zeros(0, np.int64) for name in ("query_id", "of", "vec_id", "score")} | {"no_id": np.zeros(0, bool)}
 
 
 def _found(own: pd.DataFrame, asked: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
     if own.empty or asked.empty:
         return
-    own = own.sort_values("vec_id", kind="stable")
-    ids = own["vec_id"].to_numpy()
+    own = own.sort_values(["no_id", "vec_id"], kind="stable")
+    ids, no_id = own["vec_id"].to_numpy(np.int64), own["no_id"].to_numpy(bool)
+    known = ids[: len(ids) - int(no_id.sum())]
     index = BitSlices(matrix(own["x"]))
-    for query_id, x in zip(asked["vec_id"], asked["x"], strict=True):
-        a, b = np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, "right")
+    for query_id, of, x in zip(asked["query_id"].to_numpy(np.int64), asked["of"].to_numpy(np.int64), asked["q"], strict=True):
+        a, b = np.searchsorted(known, query_id), np.searchsorted(known, query_id, "right")
         self_rows = None
         if a < b:
             flags = np.zeros(len(ids), bool)
             flags[a:b] = True
             self_rows = pack(flags, index.words)
         rows, scores = index.top(np.asarray(x, np.int64), k, self_rows)
-        yield pd.DataFrame({"query_id": query_id, "vec_id": ids[rows], "score": scores})
+        yield pd.DataFrame({
+            "query_id": query_id, "of": of, "vec_id": ids[rows], "no_id": no_id[rows], "score": scores})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,41 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(target, "zip", package.parent, package.name))
 
 
+_held: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What a worker process keeps for an operator from task to task.  Workers serve all operators in
+    turn, so the tables of any other one are let go first."""
+    if operator not in _held:
+        _held.clear()
+        _held[operator] = {}
+        give_back()
+    return _held[operator]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(operator: str, run: Callable) -> Callable:
+    """The function over batches, in a worker that holds this operator's tables alone and gives back
+    its memory after each partition."""
+
+    def clean(batches: Iterable) -> Iterator:
+        held(operator)
+        yield from run(batches)
+        give_back()
+
+    return clean
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,10 +103,21 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...]) ->
     return tuple(tested.where(c).drop("__bucket", "__map", "__may") for c in ("__may", "not __may"))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among those given; rows without a doc_id stay."""
-    maybe, others = split_by_keys(docs, gone, ("doc_id",))
-    return maybe.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(others)
+#: What tells a document from others: its id, which may be missing or shared, and a hash of its text.
+DOC = ("doc_id", "tk")
+SAME_DOC = "a.doc_id <=> b.doc_id and a.tk = b.tk"
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents but those given by (doc_id, tk), whether or not they have an id."""
+    rows = docs.select("doc_id", text_hash(), F.struct("*").alias("row"))
+    maybe, others = split_by_keys(rows, gone, DOC)
+    kept = maybe.alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left_anti").select("row")
+    return kept.unionByName(others.select("row")).select("row.*")
 
 
 def components(links: DataFrame, store: Store) -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql.types import StringType
 
 from erario.store import Store
 
-from .common import split_by_keys
-from .passages import DOC, SAME_DOC, keyed, with_texts
+from .common import DOC, SAME_DOC, split_by_keys, text_hash, tidy
+from .passages import keyed, with_texts
 
 LEADING = 3
 MIN_DOCS = 5
@@ -84,7 +84,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 names=["leaf", "line", "doc_id", "tk", "no", "long"],
             )
 
-    return keyed(docs).mapInArrow(run, "leaf long, line long, doc_id long, tk long, no int, long boolean")
+    return keyed(docs).mapInArrow(tidy("lines", run), "leaf long, line long, doc_id long, tk long, no int, long boolean")
 
 
 def _tokens(spans: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _tokens(spans: DataFrame) -> DataFrame:
                 [pa.array(line, pa.int64()), pa.array(tokens, pa.list_(pa.string()))], names=["line", "tokens"]
             )
 
-    return spans.select("text", "spans").mapInArrow(run, "line long, tokens array<string>")
+    return spans.select("text", "spans").mapInArrow(tidy("lines", run), "line long, tokens array<string>")
 
 
 def _several(some: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def drop_recurring(
     """The documents with recurring lines dropped; every row and column stays, and ``n_chars``,
     where there is one, counts anew."""
     gone = store.save(dropped(docs, store, min_docs, min_long).groupBy(*DOC).agg(F.collect_list("no").alias("gone")))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    rows = docs.select("doc_id", text_hash(), F.struct("*").alias("row"))
     without = F.pandas_udf(_without, StringType())
     maybe, others = split_by_keys(rows, gone, DOC)
     joined = maybe.hint("merge").alias("a").join(gone.alias("b"), F.expr(SAME_DOC), "left").select("row", "gone")
@@ -211,11 +211,13 @@ def drop_recurring(
     ))
 
 
-def summary(docs: DataFrame, store: Store, min_docs: int = MIN_DOCS) -> DataFrame:
+def summary(
+    docs: DataFrame, store: Store, min_docs: int = MIN_DOCS, min_long: int | None = None
+) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept): what is left of every text."""
     count = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(
         F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    kept = drop_recurring(docs.select("doc_id", "text", count.alias("n_lines")), store, min_docs)
+    kept = drop_recurring(docs.select("doc_id", "text", count.alias("n_lines")), store, min_docs, min_long)
     return kept.select(
         "doc_id", "n_lines", (F.col("n_lines") - count).alias("n_removed"),
         F.coalesce("text", F.lit("")).alias("kept"),

@@ -7,8 +7,9 @@ e, so only such vectors are replicated into the cell, and cells join independent
 the one of the earlier pivot holds the pairs across them.  Equal vectors are joined once.
 
 Vectors that are null, zero or hold null or non-finite components, and vectors of different length,
-link with nothing.  Repeated rows count as vectors of their own; rows of one vec_id with different
-vectors form one node, which has the links of all of them.
+link with nothing.  Repeated rows count as vectors of their own.  A node is a vector, so rows without
+a vec_id, or with one that others share, link and bridge like any other; only they name no component:
+one without any vec_id has none, and none of it is kept.
 """
 
 from __future__ import annotations
@@ -78,10 +79,10 @@ def near_duplicates(vectors: DataFrame, store: Store, cosine: float = 0.9) -> Da
     numbered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = usable() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     distinct = store.save(
-        numbered.where(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-        .withColumn("width", F.size("embedding"))
+        numbered.where(good).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+        .withColumns({"width": F.size("embedding"), "rep": F.monotonically_increasing_id()})
     )
-    rows = distinct.where("rep is not null")
+    rows = distinct  # stored, so the numbers of the vectors stay
     counts = rows.groupBy("width").count().collect()  # a row a vector length
     parts = [store.save(_linked(rows.where(F.col("width") == c["width"]), c["count"], store, cosine))
              for c in counts]
@@ -90,16 +91,18 @@ def near_duplicates(vectors: DataFrame, store: Store, cosine: float = 0.9) -> Da
     found = store.save(_union(parts, empty))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     related = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), store)
-    known = store.save(
+    placed = store.save(
         rows.join(links, "rep", "left").join(related.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
+        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "least",
+                F.coalesce("component", "rep").alias("root"))
     )
+    named = store.save(placed.groupBy("root").agg(F.min("least").alias("component_id")))
+    known = placed.join(named, "root").select("embedding", "n_links", "component_id")
     return (
         numbered.join(known, "embedding", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                 F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )
 
 

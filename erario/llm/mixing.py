@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import WORD
+from .common import DOC, SAME_DOC, WORD, text_hash
 
 #: Documents of one source and length that are ordered in one task; more are cut by their hash.
 ORDERED_TOGETHER = 20_000
@@ -168,16 +168,31 @@ def mix(
 def mixed_documents(
     docs: DataFrame, store: Store, weight: Callable[[int], float], most: float = 3.0, seed: int = 7
 ) -> DataFrame:
-    """The documents, each as often as the mix takes it.  Rows equal in doc_id and text are taken
-    alike, as often as the mix takes the one it takes most."""
+    """The documents, each as often as the mix takes it.  The copies of rows equal in doc_id, text and
+    source are dealt out among them evenly, so that the words taken are those of the mix."""
     taken = store.save(
-        mix(docs, store, weight, most, seed).groupBy("doc_id", "tk").agg(F.max("copies").alias("copies"))
-        .where("copies > 0")
+        mix(docs, store, weight, most, seed).groupBy(*DOC, "source")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     )
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    rows = docs.select("doc_id", text_hash(), "source", F.struct("*").alias("row"))
+    same = F.expr(SAME_DOC) & F.expr("a.source <=> b.source")
+    chosen = rows.alias("a").join(taken.alias("b"), same).select("a.doc_id", "a.tk", "a.source", "row", "copies", "rows")
     each = F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")
-    same = F.expr("a.id <=> b.doc_id and a.tk = b.tk")
-    return rows.alias("a").join(taken.alias("b"), same).select("row", each).select("row.*")
+    if not taken.where("rows > 1").limit(1).count():
+        return chosen.select("row", each).select("row.*")
+    # Equal rows are numbered within the parts of a stored table, then by what earlier parts hold.
+    key = [*DOC, "source"]
+    several = store.save(chosen.where("rows > 1").withColumn("part", F.spark_partition_id()))
+    counts = several.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = store.save(counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
+    local = F.row_number().over(Window.partitionBy(*(f"a.{k}" for k in (*key, "part"))).orderBy(F.lit(1)))
+    number = F.col("start") + local
+    extra = (number <= F.col("copies") % F.col("rows")).cast("long")
+    dealt = several.alias("a").join(starts.alias("b"), same & F.expr("a.part = b.part")).select(
+        "row", (F.floor(F.col("copies") / F.col("rows")) + extra).alias("copies")).where("copies > 0")
+    single = chosen.where("rows = 1").select("row", "copies")
+    return single.unionByName(dealt).select("row", each).select("row.*")
 
 
 FIT = {"source": "string", "size": "long", "n": "long", "source_size": "long", "target": "double",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import text_or_empty
+from .common import DOC, SAME_DOC, text_hash, text_or_empty
 
 #: Tokens looked at together; longer documents go in such pieces, which overlap by a window.
 PIECE = 1 << 22
@@ -32,8 +32,6 @@ POSITION = np.uint64((1 << 24) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: A window's place in its document.
-DOC = ("doc_id", "tk")
-SAME_DOC = "a.doc_id <=> b.doc_id and a.tk = b.tk"
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +84,7 @@ def stretches(x: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), text_or_empty())
+    return docs.select("doc_id", text_hash(), text_or_empty())
 
 
 def anchors(docs: DataFrame, tokens: Callable[[bytes], np.ndarray], n: int, k: int) -> DataFrame:

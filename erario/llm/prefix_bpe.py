@@ -21,14 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memory, text_or_empty
+from .common import Memory, held, text_or_empty, tidy
 
 ROWS_AT_ONCE = 2_000
 CACHED_PIECES = 200_000
 NEVER = 1 << 60
 #: White space behind a blank (or the end there) can share a piece with that blank.
 _BLANKS = re.compile(r" (?:\s|\Z)")
-_codecs: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
@@ -225,9 +224,10 @@ class Editable:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    own = held("bpe")
+    if (path, pattern) not in own:
+        own[path, pattern] = Codec(path, pattern)
+    return own[path, pattern]
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +272,14 @@ def decoding(path: str, pattern: str):
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
     return docs.select("doc_id", text_or_empty()).mapInArrow(
-        encoding(path, pattern), "doc_id long, ids array<int>"
+        tidy("bpe", encoding(path, pattern)), "doc_id long, ids array<int>"
     )
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes behind the ids."""
     return encoded.select("doc_id", "ids").mapInArrow(
-        decoding(path, pattern), "doc_id long, ids array<int>, decoded binary"
+        tidy("bpe", decoding(path, pattern)), "doc_id long, ids array<int>, decoded binary"
     )
 
 
@@ -299,5 +299,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy("bpe", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

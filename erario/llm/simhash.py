@@ -6,9 +6,9 @@ sought by an equal first and a nearly equal second segment, checked along the ch
 by their whole distance.  Equal fingerprints are one node; a pair whose ends are already known to be
 connected is not looked at, so a dense group costs no square of its size.
 
-Texts without words (also empty or null ones) have fingerprint zero and link like any other.  Rows
-of one doc_id with different texts form one node if it is the smallest of both fingerprints; a null
-doc_id names no component.
+Texts without words (also empty or null ones) have fingerprint zero and link like any other.  A node is a
+fingerprint, so rows without a doc_id, or with one that others share, link and bridge like any other;
+only they name no component: one without any doc_id has none.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import components, text_or_empty, without_ids
+from .common import DOC, components, text_hash, text_or_empty, tidy, without
 from .metric_join import settle
 
 SEED = 42
@@ -33,7 +33,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints with one equal segment that a task takes together; beyond, the next one also deals.
 TOGETHER = 200_000
 #: Rows a task holds at once (or one group), and pairs it compares at once.
-HELD_ROWS, PAIRS = 500_000, 2_000_000
+HELD_ROWS, PAIRS = 250_000, 1_000_000
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -55,15 +55,17 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
+    """(doc_id, tk, fp): the fingerprint of every whole text, as a signed long, and a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found)], names=["doc_id", "tk", "fp"])
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_or_empty(), text_hash()).mapInArrow(
+        tidy("simhash", run), "doc_id long, tk long, fp long")
 
 
 def segment_widths(bits: int) -> list[int]:
@@ -184,25 +186,37 @@ def near_links(nodes: DataFrame, store: Store, bits: int = 4) -> DataFrame:
             yield _links(part, bits)
 
     ordered = rows.repartition("i", "a", "v").sortWithinPartitions("i", "a", "v")
-    return store.save(ordered.mapInPandas(run, "a long, b long").distinct())
+    return store.save(ordered.mapInPandas(tidy("simhash", run), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, store: Store, words: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document; the fingerprint in hexadecimal."""
+def _grouped(docs: DataFrame, store: Store, words: int, bits: int) -> DataFrame:
+    """(doc_id, tk, fp, root) of every document; the root is the same for all fingerprints that it can
+    reach by links."""
     marked = store.save(fingerprints(docs, words))
-    nodes = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    related = components(near_links(nodes.where("rep is not null"), store, bits), store)
-    known = store.save(
-        nodes.join(related.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
+    nodes = store.save(marked.select("fp").distinct())
+    related = components(near_links(nodes.select("fp", F.col("fp").alias("rep")), store, bits), store)
+    roots = store.save(
+        nodes.join(related.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", F.coalesce("component", "fp").alias("root"))
     )
+    return store.save(marked.join(roots, "fp").select(*DOC, "fp", "root"))
+
+
+def near_duplicates(docs: DataFrame, store: Store, words: int = 4, bits: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; the fingerprint in hexadecimal."""
+    found = _grouped(docs, store, words, bits)
+    named = store.save(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(known, "fp").select("doc_id", text, "component_id")
+    return found.join(named, "root").select("doc_id", text, "component_id")
 
 
 def keep_one(docs: DataFrame, store: Store, words: int = 4, bits: int = 4) -> DataFrame:
-    """The documents, of each component only the one with the smallest doc_id.  Rows without a
-    doc_id stay; of rows with an equal doc_id all do."""
-    found = near_duplicates(docs, store, words, bits)
-    gone = store.save(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return without_ids(docs, gone)
+    """The documents, of each component only the one with the smallest doc_id; one without an id stays
+    only if none of its component has one.  Of different texts with one id the one with the smaller
+    hash stays; rows equal in id and text are one document and stay together."""
+    found = _grouped(docs, store, words, bits)
+    first = store.save(found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")).alias("kept")))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tk") == F.col("kept.tk"))
+    gone = found.join(first, "root").where(~stays).select(*DOC).distinct()
+    return without(docs, store.save(gone))

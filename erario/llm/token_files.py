@@ -5,8 +5,8 @@ local_start (ids of the part before the row), n_tokens, tokens.  Ids are diction
 row groups and pages are small and carry a page index, so a reader of the metadata columns, or of a
 range of documents, touches only their pages.
 
-Empty or null texts have just the end id.  Rows with an equal doc_id are kept, ordered by text;
-a null doc_id comes first.  Other columns of the input are ignored.
+Empty or null texts have just the end id.  Texts of any length are encoded
+whole, and rows with an equal doc_id are kept, ordered by a hash of their text; a null doc_id comes first.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, text_or_empty
+from .common import Memory, held, text_or_empty, tidy
 
-ROWS_AT_ONCE = 500
-CACHED_WORDS = 800_000
+ROWS_AT_ONCE = 1000
+CACHED_WORDS = 300_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
-_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Encodes whole texts with a tokenizers file whose pre-tokenizer drops white space.
 
     No token of such a file spans white space, so a text's ids are those of its blank-separated
-    pieces in turn; each distinct piece is given to the library once while it stays in memory.
+    pieces in turn.  A batch is split and its distinct pieces are numbered by Arrow; each of them is
+    looked up once a batch, and given to the library once while it stays in memory.
     """
 
     def __init__(self, path: str):
@@ -44,21 +45,31 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.known = Memory(CACHED_WORDS)
 
-    def _learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         pieces = list(pieces)
-        found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        pieces = [t.split() for t in texts]  # at ASCII white space
-        return [b"".join(ids) for ids in self.known.look_up(pieces, self._learn)]
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's ids end (after a leading 0)."""
+        pieces = pc.ascii_split_whitespace(texts)
+        numbered = pieces.flatten().dictionary_encode()
+        ids = self.known.look_up([numbered.dictionary.to_pylist()], self._learn)[0]
+        values = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, which = np.cumsum(size) - size, numbered.indices.to_numpy()
+        count = size[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        found = values[np.repeat(start[which] - ends[:-1], count) + np.arange(ends[-1])]
+        offsets = pieces.offsets.to_numpy()
+        return found, ends[offsets - offsets[0]]
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    own = held("tokens")
+    if path not in own:
+        own[path] = WordEncoder(path)
+    return own[path]
 
 
 def write_tokens(
@@ -69,22 +80,19 @@ def write_tokens(
     tokenizers file).  The range shuffle moves texts, before they are encoded."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
-                texts = some.column(1).cast(pa.binary()).to_pylist()
-                ids = [x + end for x in encoder(tokenizer).encode(texts)]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                )
+                ids, ends = encoder(tokenizer).encode(some.column(1))
+                ids = np.insert(ids, ends[1:], end_id)  # before these places of the ids without end ids
+                ends = ends + np.arange(len(ends))
+                counts = np.diff(ends)
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.full(len(ids), part, np.int32)),
+                    [some.column(0), pa.array(np.full(len(counts), part, np.int32)),
                      pa.array(before + ends[:-1]), pa.array(counts), tokens],
                     names=["doc_id", "part", "local_start", "n_tokens", "tokens"],
                 )
@@ -92,10 +100,11 @@ def write_tokens(
 
     ordered = (
         docs.select("doc_id", text_or_empty())
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        # The hash deals out rows that share an id, or have none.
+        .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
     (
-        ordered.mapInArrow(encode, SCHEMA).write
+        ordered.mapInArrow(tidy("tokens", encode), SCHEMA).write
         .option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")  # delta coding where no dictionary is used
         .option("parquet.enable.dictionary", "false")
@@ -136,5 +145,5 @@ def ids_digest(rows: DataFrame) -> DataFrame:
             )
 
     return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        tidy("tokens", digest), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from erario.store import Store
 
-from .common import text_or_empty, without_ids
+from .common import DOC, text_hash, text_or_empty, tidy, without
 
 #: Labelled rows that teach (those with the smallest hashes), terms kept, and voters.
 SAMPLE_ROWS, TERMS, VOTERS = 20_000, 400, 60
+#: Step of posteriors; sums of them are exact in a batch, and in whole numbers beyond.
+UNIT = 2.0**-30
 BEGINNINGS = (4, 5, 6)
 WORDS = re.compile(r"\w+")
 #: Plain insults that vote whether or not the labelled rows hold them.
@@ -121,7 +123,7 @@ def mine(sample: DataFrame, store: Store, most: int = TERMS) -> list[str]:
         return []
     rate = bad / n
     counted = store.save(
-        texts.select("text", "toxic").mapInArrow(_count_terms, "term string, bad long, good long")
+        texts.select("text", "toxic").mapInArrow(tidy("toxicity", _count_terms), "term string, bad long, good long")
         .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
     tested = counted.count()
@@ -197,21 +199,22 @@ def _arrays(column: pd.Series) -> list[np.ndarray]:
 
 
 def refine(model: LabelModel, found: DataFrame, terms: list[str], voters: int, labelled: np.ndarray) -> LabelModel:
-    """Expectation maximisation over the votes on all documents; the labelled tallies stay in."""
+    """Expectation maximisation over the votes on all documents; the labelled tallies stay in.
+    Posteriors are whole multiples of ``UNIT``, so that sums do not depend on the order of documents."""
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, voters + 4, 3))
+        total = np.zeros((2, voters + 4, 3), np.int64)
         for frame in frames:
             votes = cast_votes(_arrays(frame["terms"]), frame["n_words"].to_numpy(), terms, voters)
-            p = model.posterior(votes)
-            total += np.stack([_tally(votes, 1 - p), _tally(votes, p)])
+            p = np.rint(model.posterior(votes) / UNIT)
+            total += np.stack([_tally(votes, 1 / UNIT - p), _tally(votes, p)]).astype(np.int64)
         flat = total.ravel()
         yield pd.DataFrame({"at": np.arange(len(flat)), "n": flat})
 
     for _ in range(ROUNDS):
-        rows = found.select("terms", "n_words").mapInPandas(tally, "at long, n double")
+        rows = found.select("terms", "n_words").mapInPandas(tidy("toxicity", tally), "at long, n long")
         sums = {r["at"]: r["n"] for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect()}
-        total = np.array([sums.get(i, 0.0) for i in range(2 * (voters + 4) * 3)]).reshape(2, voters + 4, 3)
+        total = UNIT * np.array([sums.get(i, 0) for i in range(2 * (voters + 4) * 3)]).reshape(2, voters + 4, 3)
         both = total + labelled
         share = both[1, 0].sum() / max(both[:, 0].sum(), 1e-9)
         model = LabelModel(np.stack([_shares(t) for t in both]), float(np.clip(share, EDGE, 1 - EDGE)), model.voice)
@@ -233,7 +236,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 1
 
 
 def score(docs: DataFrame, labels: DataFrame, store: Store, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted, tk) of every document; tk is a hash of its text."""
     teaching = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -249,15 +252,16 @@ def score(docs: DataFrame, labels: DataFrame, store: Store, sample_rows: int = S
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([finder.find(t) for t in texts], pa.list_(pa.int32())),
+                [batch.column(0), batch.column(2), pa.array([finder.find(t) for t in texts], pa.list_(pa.int32())),
                  pa.array([int(bool(t.strip())) for t in texts], pa.int32())],
-                names=["doc_id", "terms", "n_words"],
+                names=["doc_id", "tk", "terms", "n_words"],
             )
 
-    found = store.save(docs.select("doc_id", text_or_empty()).mapInArrow(
-        find, "doc_id long, terms array<int>, n_words int"
+    found = store.save(docs.select("doc_id", text_or_empty(), text_hash()).mapInArrow(
+        tidy("toxicity", find), "doc_id long, tk long, terms array<int>, n_words int"
     ))
-    taught = found.join(F.broadcast(teaching), "doc_id").select("terms", "n_words", "toxic").toPandas()
+    taught = found.join(F.broadcast(teaching), "doc_id").select("doc_id", "tk", "terms", "n_words", "toxic").toPandas()
+    taught = taught.sort_values(["doc_id", "tk"], ignore_index=True)  # so that reruns fit the same weights
     weights, base = np.zeros(len(terms)), -4.0
     if len(taught) and taught["toxic"].nunique() == 2:
         voters = min(VOTERS, len(terms))
@@ -274,13 +278,12 @@ def score(docs: DataFrame, labels: DataFrame, store: Store, sample_rows: int = S
         F.coalesce(F.transform("terms", lambda t: F.element_at(F.array(*map(F.lit, weights.tolist())), t + 1)), F.array()),
         F.lit(0.0), lambda a, b: a + b,
     )
-    return found.select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    return found.select(
+        "doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"),
+        (1 / (1 + F.exp(-z)) >= 0.5).cast("int").alias("predicted"), "tk")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
-    """The documents that are not predicted toxic."""
+    """The documents that are not predicted toxic; each row goes or stays by its own text."""
     found = score(docs, labels, store)
-    gone = store.save(found.where("predicted = 1").select("doc_id").distinct())
-    return without_ids(docs, gone)
+    return without(docs, store.save(found.where("predicted = 1").select(*DOC).distinct()))

@@ -52,7 +52,8 @@ def _with_digest(removed: DataFrame) -> DataFrame:
 
 
 def template_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_digest(line_templates.summary(read_table(spark, sf_dir, "documents"), Store(spark)))
+    docs = read_table(spark, sf_dir, "documents")
+    return _with_digest(line_templates.summary(docs, Store(spark), min_long=line_templates.MIN_LONG))
 
 
 def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,35 +154,39 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 
 LINES_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tk, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), line AS (
-  SELECT doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM d
+  SELECT doc_id, tk, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM d
 ), masked AS (
   SELECT *, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM line
 ), parsed AS (
   SELECT *, array_to_string(ts, ' ') AS known, array_to_string(list_concat([CAST(len(ts) AS VARCHAR)], ts[1:3]), ' ') AS leaf
   FROM masked WHERE len(ts) > 0
-), leaves AS (SELECT leaf FROM parsed GROUP BY leaf HAVING count(DISTINCT text) >= 5
-), each AS (
-  SELECT leaf, known, first(ts) AS ts, count(DISTINCT text) AS docs, min(doc_id) AS first_doc
-  FROM parsed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, known
+), leaves AS (SELECT leaf, count(DISTINCT tk) AS n FROM parsed GROUP BY leaf HAVING count(DISTINCT tk) >= 5
+), holder AS (
+  SELECT leaf, known, tk, n, first(ts) AS ts, min(doc_id) AS doc_id FROM parsed JOIN leaves USING (leaf) GROUP BY leaf, known, tk, n
 ), token AS (
-  SELECT leaf, known, docs, unnest(ts) AS token, generate_subscripts(ts, 1) AS place FROM each
-), often AS (SELECT leaf, place, token FROM token GROUP BY leaf, place, token HAVING sum(docs) >= 5
+  SELECT leaf, known, tk, n, unnest(ts) AS token, generate_subscripts(ts, 1) AS place FROM holder
+), often AS (
+  SELECT leaf, place, token FROM token GROUP BY leaf, place, token, n
+  HAVING count(DISTINCT tk) >= 5 AND count(DISTINCT tk) >= 0.25 * n
 ), typed AS (
-  SELECT token.leaf, known, avg(CASE WHEN often.token IS NULL THEN 0 ELSE 1 END) AS share,
-    string_agg(coalesce(often.token, '<*>'), ' ' ORDER BY place) AS pattern
-  FROM token LEFT JOIN often USING (leaf, place, token) GROUP BY token.leaf, known
+  SELECT t.leaf, t.known, avg(CASE WHEN often.token IS NULL THEN 0 ELSE 1 END) AS share,
+    string_agg(coalesce(often.token, '<*>'), ' ' ORDER BY t.place) AS pattern
+  FROM (SELECT DISTINCT leaf, known, place, token FROM token) t LEFT JOIN often USING (leaf, place, token) GROUP BY t.leaf, t.known
 ), template AS (
-  SELECT each.known, docs, first_doc,
-    CASE WHEN share >= 0.5 THEN 't ' || each.leaf || '|' || pattern ELSE 'l ' || each.known END AS template
-  FROM each JOIN typed ON typed.leaf = each.leaf AND typed.known = each.known
+  SELECT leaf, known, CASE WHEN share >= 0.5 THEN 't ' || leaf || '|' || pattern ELSE 'l ' || known END AS template FROM typed
 ), recurring AS (
-  SELECT template, min(first_doc) AS first_doc FROM template GROUP BY template HAVING sum(docs) >= 5
+  SELECT template, min(doc_id) AS first_doc FROM template JOIN holder USING (leaf, known) GROUP BY template HAVING count(DISTINCT tk) >= 5
+), owned AS (
+  SELECT known, first_doc, 0 AS rule FROM template JOIN recurring USING (template)
+  UNION ALL
+  SELECT known, min(doc_id), 1 FROM parsed WHERE len(ts) >= 50 AND 2 * len(list_filter(ts, lambda t: t = '<*>')) < len(ts)
+  GROUP BY known HAVING count(DISTINCT tk) >= 2
+), owner AS (SELECT known, arg_min(first_doc, rule) AS first_doc FROM owned GROUP BY known
 ), gone AS (
-  SELECT parsed.doc_id, parsed.no FROM parsed JOIN template ON template.known = parsed.known
-  JOIN recurring ON recurring.template = template.template WHERE parsed.doc_id <> recurring.first_doc
+  SELECT parsed.doc_id, parsed.no FROM parsed JOIN owner USING (known) WHERE parsed.doc_id <> owner.first_doc
 ), kept AS (
   SELECT line.doc_id, count(gone.no) AS n_removed, string_agg(raw, chr(10) ORDER BY line.no) FILTER (WHERE gone.no IS NULL) AS text
   FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.no = line.no GROUP BY line.doc_id

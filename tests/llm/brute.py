@@ -83,8 +83,9 @@ def mask(line: str) -> str:
     return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", " ".join(x.decode() for x in line.encode().split()))
 
 
-def kept_lines(docs: list[tuple], least: int) -> list[str]:
-    """Texts without the lines of recurring templates, but in the first document of each."""
+def kept_lines(docs: list[tuple], least: int, long: int | None = None) -> list[str]:
+    """Texts without the lines of recurring templates, and without long lines of so many texts, but in
+    the first document of each.  Only different texts count."""
     texts, first, leaf_texts, parts = defaultdict(set), {}, defaultdict(set), {}
     for i, text, *_ in docs:
         for line in (text or "").split("\n"):
@@ -96,19 +97,22 @@ def kept_lines(docs: list[tuple], least: int) -> list[str]:
                 first[m] = min(x for x in (first.get(m), i, 1 << 60) if x is not None)
                 parts[m] = leaf, w
     often = {m for m, (leaf, _) in parts.items() if len(leaf_texts[leaf]) >= least}
-    count = Counter()
+    holders = defaultdict(set)
     for m in often:
         for at, x in enumerate(parts[m][1]):
-            count[parts[m][0], at, x] += len(texts[m])
+            holders[parts[m][0], at, x] |= texts[m]
     group = defaultdict(list)
     for m in often:
         leaf, w = parts[m]
-        fixed = [count[leaf, at, x] >= least for at, x in enumerate(w)]
+        fixed = [len(holders[leaf, at, x]) >= max(least, len(leaf_texts[leaf]) / 4) for at, x in enumerate(w)]
         shown = tuple(x if f else "<*>" for x, f in zip(w, fixed, strict=True))
         group[(leaf, shown) if sum(fixed) / len(w) >= 0.5 else m].append(m)
     owner = {}
+    for m, (_, w) in parts.items():
+        if long and len(w) >= 50 and 2 * w.count("<*>") < len(w) and len(texts[m]) >= long:
+            owner[m] = first[m]
     for members in group.values():
-        if sum(len(texts[m]) for m in members) >= least:
+        if len(set().union(*(texts[m] for m in members))) >= least:
             owner |= dict.fromkeys(members, min(first[m] for m in members))
     return [
         "\n".join(x for x in (text or "").split("\n") if mask(x) not in owner or owner[mask(x)] == i)
