@@ -2,6 +2,13 @@
 
 ``run`` returns the last stage's rows: per document of the mix its id, the number of its tokens, and
 digests of its token ids and of their decoded bytes.
+
+A document is a row; rows are told apart by doc_id and text, so those without an id, or with one that
+others share, go and stay by their own text.  Null and empty texts pass every filter; of all of them
+one stays as near-duplicates of each other, and the mix takes it as often as its source is taken whole.
+Texts of any length are read whole.  Repeated rows are one document to the near-duplicate stage and stay
+together; the mix deals its copies out among them.  Columns beside those of ``documents`` pass through
+the first four stages.  An empty table gives no rows.
 """
 
 from __future__ import annotations
