@@ -12,6 +12,7 @@ whole, and rows with an equal doc_id are kept, ordered by a hash of their text;
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,19 +24,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, held, text_or_empty, tidy
+from .common import held, text_or_empty, tidy
 
 ROWS_AT_ONCE = 1000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
+#: Signs behind a letter and before white space: the tokenizer takes them as a piece of their own.  An
+#: apostrophe, which may begin a contraction, and signs beyond ASCII are left with their word.
+TRAILING = r"(\p{L})([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)(\s|$)"
+#: Words that are one piece to the tokenizer whatever stands beside them.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Words given to the library as one text.
+JOINED = 256
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizers file whose pre-tokenizer drops white space.
+    """Encodes whole texts with a tokenizers file that lower-cases, drops white space and takes letters,
+    digits and signs as pieces, the last token of each marked as such.
 
-    No token of such a file spans white space, so a text's ids are those of its blank-separated
-    pieces in turn.  A batch is split and its distinct pieces are numbered by Arrow; each of them is
-    looked up once a batch, and given to the library once while it stays in memory.
+    No token of such a file spans pieces, so a text's ids are those of its blank-separated words in
+    turn.  Arrow splits a batch, trailing signs apart, and numbers its distinct words; each is looked up
+    once a batch, and given to the library once while it stays in memory, plain words many at a time:
+    their ids are told apart by the mark.
     """
 
     def __init__(self, path: str):
@@ -43,18 +53,45 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = Memory(CACHED_WORDS)
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        pieces = list(pieces)
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: array("I", e.ids).tobytes() for p, e in zip(pieces, found, strict=True)}
+        mark = self.library.model.end_of_word_suffix
+        size = self.library.get_vocab_size()
+        self.last = np.array([bool(mark) and self.library.id_to_token(i).endswith(mark) for i in range(size)])
+        #: Two generations of known words; the older goes when the younger is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        plain, rest = [], []
+        for word in words:
+            (plain if PLAIN(word) else rest).append(word)
+        groups = [plain[i: i + JOINED] for i in range(0, len(plain), JOINED)]
+        texts = self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, texts, strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):  # a file without the mark
+                rest += group
+                continue
+            whole, ends = ids.tobytes(), (4 * ends).tolist()
+            for word, start, end in zip(group, [0, *ends], ends):
+                self.young[word] = whole[start:end]
+        for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.young[word] = array("I", found.ids).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        unknown = [w for w in words if w not in self.young]
+        known = {w: self.old[w] for w in unknown if w in self.old}
+        self.young |= known
+        self._learn([w for w in unknown if w not in known])
+        return [self.young[w] for w in words]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text's ids end (after a leading 0)."""
-        pieces = pc.ascii_split_whitespace(texts)
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), TRAILING, r"\1 \2\3"))
         numbered = pieces.flatten().dictionary_encode()
-        ids = self.known.look_up([numbered.dictionary.to_pylist()], self._learn)[0]
+        ids = self._ids(numbered.dictionary.to_pylist())
         values = np.frombuffer(b"".join(ids), "<u4")
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start, which = np.cumsum(size) - size, numbered.indices.to_numpy()
