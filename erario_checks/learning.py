@@ -6,14 +6,18 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erario import fixed
-from erario.modelling import features, metrics
+from erario.modelling import features, linear, metrics
+from erario.modelling.blocks import coded
 from erario.modelling.score import model_info, predict_classification, predict_regression
-from erario.modelling.split import split, stratified_sample, with_folds
-from erario.modelling.train import CANDIDATES, candidates, load_fitted, train_task
+from erario.modelling.split import class_sizes, split, stratified_sample, with_folds
+from erario.modelling.train import (
+    ABSOLUTE_SHARE, CANDIDATES, PENALTY, TASKS, candidates, load_fitted, train_task,
+)
 from erario.plans.profile import value_counts
 from erario.plans.views import modelling_star
 from erario.sources.lens import table
@@ -213,6 +217,83 @@ def _score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _rows_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling_star(Stage.of(spark, sf_dir).warehouse)
+
+
+def _feature_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature with its kind, its known values, and whether it would leak the outcome."""
+    df = _rows_of_models(spark, sf_dir)
+    numbers, texts, every = features.feature_columns(df)
+    features.require_no_leakage(every)
+    known = df.agg(*[F.count(c).alias(c) for c in every])
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.lit("numeric" if c in numbers else "categorical").alias("kind"),
+                 F.col(c).alias("known"), F.lit(c in fixed.BANNED_FEATURES).alias("leaks"))
+        for c in numbers + texts]
+    return known.select(F.inline(F.array(*cells)))
+
+
+def _targets_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _rows_of_models(spark, sf_dir)
+    features.require_targets(df)
+    targets = (fixed.REGRESSION_TARGET, fixed.CLASSIFICATION_TARGET)
+    row = df.agg(F.count("*").alias("n"), *[F.count(t).alias(t) for t in targets])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col("n"), F.col(t).alias("known")) for t in targets])))
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, outputs, and how many outputs of texts are set: one a text and row."""
+    df = _rows_of_models(spark, sf_dir)
+    prep, _ = features.learn(df, Store(spark))
+    ready = features.apply(df, prep, None)
+    rows = features.encoder(ready, prep).transform(ready).select(vector_to_array("features").alias("x"))
+    hot = F.aggregate(F.slice("x", len(prep.numbers) + 1, F.size("x")), F.lit(0.0), lambda a, b: a + b)
+    return rows.agg(F.count("*").alias("n"), F.max(F.size("x")).cast("bigint").alias("outputs"),
+                    F.sum(hot.cast("bigint")).alias("hot"))
+
+
+def _optimal(task: str) -> Query:
+    """Whether the fitted linear model is the least point of its objective, by slopes over the data."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, target = Store(spark), TASKS[task]
+        df = _rows_of_models(spark, sf_dir).where(F.col(target).isNotNull())
+        df = store.save(with_folds(df.withColumn("label", F.col(target).cast("double")), [fixed.FACT_KEY], 2, 1)
+                        .withColumn("tenth", F.lit(1)))
+        preps = [p for p, _ in features.learn_folds(df, 2, store)]
+        data = coded(df, preps, [fixed.FACT_KEY], 1, store)
+        prep = preps[-1]
+        ready = features.apply(df, prep, None)
+        encoded = features.encoder(ready, prep).transform(ready)
+        if task == "regression":
+            model = linear.elastic_net(data, preps, PENALTY, ABSOLUTE_SHARE)[-1]
+            rest, lasso, ridge = F.col("label") - F.col("prediction"), PENALTY * ABSOLUTE_SHARE, PENALTY * (1 - ABSOLUTE_SHARE)
+        else:
+            model = linear.balanced_logistic(data, preps)[-1]
+            size = class_sizes(df, "label")
+            n = sum(size.values())
+            weight = F.when(F.col("label") == 1, n / (2 * size[1.0])).otherwise(n / (2 * size[0.0]))
+            rest, lasso, ridge = weight * (F.col("label") - F.col("score")), 0.0, 1.0 / n
+        w = [float(x) for x in model.table["weight"]]
+        slopes = (
+            model.transform(encoded, prep).select(rest.alias("rest"), F.posexplode(vector_to_array("features")))
+            .groupBy("pos").agg((F.avg(F.col("col") * F.col("rest"))).alias("slope"), F.count("*").alias("n")))
+        at = F.element_at(F.array(*map(F.lit, w)), F.col("pos") + 1)
+        slope = F.col("slope") - ridge * at
+        gap = F.when(at == 0, F.greatest(F.abs(slope) - lasso, F.lit(0.0))).otherwise(F.abs(slope - lasso * F.signum(at)))
+        return slopes.agg(F.max("n").alias("n"), F.count("*").alias("outputs"), (F.max(gap) < 1e-6).alias("optimal"))
+
+    return run
+
+
+def _fast_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold sizes of the short profile."""
+    folds = with_folds(_modelling(spark, sf_dir), [fixed.FACT_KEY], TrainConfig(fast=True).n_folds, fixed.SEED)
+    return folds.groupBy("fold").agg(F.count("*").alias("n")).select(F.col("fold").cast("bigint").alias("fold"), "n")
+
+
 def learning_queries() -> dict[str, Query]:
     return {
         "train_facts": _train_facts,
@@ -240,9 +321,18 @@ def learning_queries() -> dict[str, Query]:
         "score_regression": _score("regression"),
         "score_classification": _score("classification"),
         "model_info": _info,
+        "feature_kinds": _feature_kinds,
+        "targets_known": _targets_known,
+        "assembled": _assembled,
+        "folds_fast": _fast_folds,
+        "elastic_net_optimal": _optimal("regression"),
+        "logistic_optimal": _optimal("classification"),
     }
 
 
+_NUMBERS = ("monto_aprobado", "monto_modificado", "ciclo", "id_ramo", "id_entidad_federativa", "id_capitulo", "id_ff")
+_WORDS = ("tipo_gasto", "desc_ramo", "desc_ur", "entidad_federativa", "desc_capitulo", "desc_concepto", "desc_ff",
+          "desc_funcion", "desc_pp", "id_ur")
 _MODEL_ROWS = "monto_modificado > 0 AND flag_registro_valido AND tipo_gasto = 'PROGRAMABLE'"
 _SIZES = (f"sizes AS (SELECT alta_ejecucion, count(*) AS m, sum(count(*)) OVER () AS n "
           f"FROM clean WHERE {_MODEL_ROWS} GROUP BY alta_ejecucion)")
@@ -332,5 +422,16 @@ def learning_oracle() -> dict[str, str]:
     o["score_checks"] = _with(
         "done AS (SELECT count(*) AS n FROM clean) SELECT task, n, n AS n_good, true AS reload_equals_memory "
         "FROM done, (VALUES ('regression'), ('classification')) t(task)")
+    o["feature_kinds"] = _with(fit + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, '{kind}' AS kind, count({c}) AS known, false AS leaks FROM fit"
+        for kind, names in (("numeric", _NUMBERS), ("categorical", _WORDS)) for c in names))
+    o["targets_known"] = _with(fit + " " + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, count(*) AS n, count({t}) AS known FROM fit"
+        for t in (fixed.REGRESSION_TARGET, fixed.CLASSIFICATION_TARGET)))
+    outputs = f"CAST({len(_NUMBERS)} + " + " + ".join(f"least(count(DISTINCT {c}), {fixed.MAX_LEVELS})" for c in _WORDS) + " AS BIGINT)"
+    o["assembled"] = _with(f"{fit} SELECT count(*) AS n, {outputs} AS outputs, CAST(count(*) * {len(_WORDS)} AS BIGINT) AS hot FROM fit")
+    o["folds_fast"] = _with(f"{fit}, pos AS (SELECT (row_number() OVER () - 1) % 3 AS fold FROM fit) SELECT fold, count(*) AS n FROM pos GROUP BY fold")
+    for name, target in (("elastic_net_optimal", fixed.REGRESSION_TARGET), ("logistic_optimal", fixed.CLASSIFICATION_TARGET)):
+        o[name] = _with(f"{fit} SELECT count(*) AS n, {outputs} AS outputs, true AS optimal FROM fit WHERE {target} IS NOT NULL")
     o["onehot_prepared"] = _with(f"{fit}, {fit_counts}, {placed} {prepared}")
     return o

@@ -342,6 +342,12 @@ def base_oracle() -> dict[str, str]:
     o["all_views_by_sql"] = " UNION ALL ".join(
         f"SELECT '{name}' AS name, count(*) AS n FROM ({o['view_kpis' if axis == 'global' else f'view_{axis}']})"
         for axis, name in [*fixed.AXIS_VIEWS.items(), ("star", fixed.STAR_VIEW)])
+    catalogue = ", ".join(
+        f"('{a}', '{v}', '{','.join(sorted(f))}')" for a, v, f in [
+            *((a, v, fixed.AXIS_FILTERS[a]) for a, v in fixed.AXIS_VIEWS.items()), ("star", fixed.STAR_VIEW, fixed.STAR_FILTERS)])
+    o["axis_catalogue"] = (
+        f"SELECT axis, view, filters, n FROM (VALUES {catalogue}) c(axis, view, filters) "
+        f"JOIN ({o['all_views_by_sql']}) v ON v.name = c.view")
     o["kpis_one_cycle"] = on_star(_top("kpis", 50, "ciclo = 1997"))
     o["axis_filtered_ramo"] = on_star(_top("ramo", 100, "id_ramo = 2 AND ciclo = 1996"))
     o["axis_filtered_ur"] = on_star(_top("ur", 100, "id_ur = 'U2' AND id_ramo = 2"))

@@ -15,7 +15,7 @@ from erario.operators.lookup import missing_keys
 from erario.operators.numbering import number_rows
 from erario.operators.quantiles import quantiles
 from erario.plans import profile
-from erario.plans.olap import chart_rows, lookup, query_axis, query_kpis, query_star
+from erario.plans.olap import catalogue, chart_rows, lookup, query_axis, query_kpis, query_star
 from erario.plans.star import (
     Warehouse,
     build_warehouse,
@@ -219,6 +219,9 @@ def base_queries() -> dict[str, Query]:
     q["view_programa_label"] = on_warehouse(lambda wh: view(wh, "programa", "label"))
     q["views_by_sql"] = _views_by_sql
     q["all_views_by_sql"] = _all_views_by_sql
+    q["axis_catalogue"] = lambda spark, sf_dir: (
+        catalogue(spark).join(_all_views_by_sql(spark, sf_dir).withColumnRenamed("name", "view"), "view")
+        .withColumn("filters", F.array_join("filters", ",")))
     q["axis_capitulo_all"] = on_warehouse(
         lambda wh: rounded(query_axis(wh, "capitulo", limit=None).data, MEAN))
     q["kpis_one_cycle"] = on_warehouse(lambda wh: rounded(query_kpis(wh, 1997).data, MEAN))

@@ -9,7 +9,7 @@ from erario import fixed
 from erario.functions.parsing import number, stripped, whole
 from erario.operators.clean import clean, typed, with_derived
 from erario.operators.filters import apply_filter, chosen, equalities
-from erario.sources.raw import read_raw_csv
+from erario.sources.raw import read_raw_csv, split_records
 from erario.sources.tables import load_clean, load_modelling_frame, load_olap_source, run_cleaning
 
 
@@ -118,6 +118,38 @@ def test_csv_with_quoted_line_end(spark, tmp_path):
     assert df.count() == 2 and df.filter(F.col("desc_ur").contains("\n")).count() == 1
 
 
+def test_quoted_line_ends_at_split_borders(spark, tmp_path):
+    """Records run over the borders of splits, some over whole splits; every split is a task."""
+    import csv
+    import random
+
+    rng = random.Random(3)
+    words = ["a", "b c", "d,e", 'f "g"', "h\ni", "j\r\nk", "\n", "", "ñ" * 30, "x\n" * 60, '"', '""\n"']
+    rows = {n: [[f"{n}{i}", *(rng.choice(words) for _ in range(3))] for i in range(80)] for n in "pq"}
+    for name, table in rows.items():
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\r\n" if name == "q" else "\n")
+            out.writerow(["id", "one", "two", "three"])
+            out.writerows(table)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        df = read_raw_csv(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.collect())
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        assert tasks > 40 and split_records(spark, str(tmp_path)).count() == 162
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(tuple(x or None for x in r) for table in rows.values() for r in table)
+
+
+def test_stray_quotes_are_left_to_the_whole_parser(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('id,size\n1,5" pipe\n2,"two\nlines"\n3,7\n')
+    assert [tuple(r) for r in read_raw_csv(spark, str(tmp_path)).orderBy("id").collect()] == [
+        ("1", '5" pipe'), ("2", "two\nlines"), ("3", "7")]
+
+
 def test_no_csv(spark):
     with pytest.raises(FileNotFoundError):
         read_raw_csv(spark, "/nowhere/x.csv")
