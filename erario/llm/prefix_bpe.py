@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import Memory, held, text_or_empty, tidy
 
-ROWS_AT_ONCE = 2_000
-CACHED_PIECES = 200_000
+ROWS_AT_ONCE = 500
+CACHED_PIECES = 120_000
 NEVER = 1 << 60
 #: White space behind a blank (or the end there) can share a piece with that blank.
 _BLANKS = re.compile(r" (?:\s|\Z)")
