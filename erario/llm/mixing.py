@@ -4,7 +4,8 @@ Targets share a total by weight; a source stops at a multiple of its own size an
 shared anew.  A source gives every document as often as its target holds the whole source, and one
 more copy of some documents.  Which: documents are counted by exact length; every length gives its
 share, rounded down, and a bounded knapsack over the lengths fills what the rounding left.  From
-each length the documents with the smallest seeded hashes are taken, so reruns agree.
+each length documents are taken by a seeded hash, so reruns agree: those with the smallest hashes, or, of
+more than ``ORDERED_TOGETHER`` of one length, first by parts of the hash and then by the hash in a part.
 
 Null texts and texts without words have size 0 and are taken as often as the source is taken
 whole.  A null source is a source of its own, the last.  Rows with an equal doc_id are documents of
