@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from .common import Memory, held, text_or_empty, tidy
 
 ROWS_AT_ONCE = 500
-CACHED_PIECES = 120_000
+#: Pieces remembered in each of two generations of two kinds (some 250 bytes each).
+CACHED_PIECES = 300_000
 NEVER = 1 << 60
 #: White space behind a blank (or the end there) can share a piece with that blank.
 _BLANKS = re.compile(r" (?:\s|\Z)")
@@ -33,7 +34,7 @@ _BLANKS = re.compile(r" (?:\s|\Z)")
 class Codec:
     """The ranks of a tiktoken file, with the pattern that splits a text into pieces."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cached: int = CACHED_PIECES):
         lines = [line.split() for line in open(path, "rb") if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in lines}
         self.token: list[bytes | None] = [None] * (1 + max(self.rank.values()))
@@ -54,7 +55,7 @@ class Codec:
         for t, r in sorted(self.rank.items(), key=lambda x: x[1]):
             if len(t) > 1:
                 self.halves[r] = self._halves(t, r)
-        self.plain, self.spaced = Memory(CACHED_PIECES), Memory(CACHED_PIECES)
+        self.plain, self.spaced = Memory(cached), Memory(cached)
 
     def _short(self, end: bytes) -> tuple[int, ...]:
         return tuple(n for n in range(len(end), 0, -1) if end[-n:] in self.rank)
@@ -223,11 +224,11 @@ class Editable:
         return out
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, cached: int = CACHED_PIECES) -> Codec:
     own = held("bpe")
-    if (path, pattern) not in own:
-        own[path, pattern] = Codec(path, pattern)
-    return own[path, pattern]
+    if (path, pattern, cached) not in own:
+        own[path, pattern, cached] = Codec(path, pattern, cached)
+    return own[path, pattern, cached]
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +242,11 @@ def _id_lists(column: pa.ListArray) -> list[list[int]]:
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encoding(path: str, pattern: str):
+def encoding(path: str, pattern: str, cached: int = CACHED_PIECES):
     """Batches of (doc_id, text) to batches of (doc_id, ids)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, cached)
         for some in _slices(batches):
             ids = own.encode(some.column(1).to_pylist())
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -255,11 +256,11 @@ def encoding(path: str, pattern: str):
     return run
 
 
-def decoding(path: str, pattern: str):
+def decoding(path: str, pattern: str, cached: int = CACHED_PIECES):
     """Batches of (doc_id, ids) to batches of (doc_id, ids, decoded)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, cached)
         for some in _slices(batches):
             texts = [own.decode(ids) for ids in _id_lists(some.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -283,13 +284,13 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, cached: int = CACHED_PIECES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded and decoded again, in one
-    pass of one Python worker a task."""
+    pass of one Python worker a task.  ``cached`` trades memory for time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for some in decoding(path, pattern)(encoding(path, pattern)(batches)):
+        own = codec(path, pattern, cached)
+        for some in decoding(path, pattern, cached)(encoding(path, pattern, cached)(batches)):
             lists = _id_lists(some.column(1))
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), pa.array([len(x) for x in lists], pa.int64()),
