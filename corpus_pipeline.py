@@ -41,9 +41,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return prefix_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+    return prefix_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN, cached=CACHED_PIECES)
 
 
+#: Fewer than the operator alone remembers: executors that ran the other stages have less room.
+CACHED_PIECES = 100_000
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_recurring_lines),
