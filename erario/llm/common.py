@@ -160,39 +160,3 @@ def _downward(pairs: DataFrame) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count("*"), digest).head())
-
-
-class Memory:
-    """A dictionary of bounded size: of two generations, the older goes when the younger is full."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def look_up(self, rows: list[list], learn: Callable[[set], dict]) -> list[list]:
-        """The values of the keys in each row; ``learn`` gives those of unknown keys."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        if not self.young:
-            self._fetch(set().union(*rows), learn)
-        get = self.young.get
-        found = [list(map(get, row)) for row in rows]
-        holes = []
-        for keys, values in zip(rows, found, strict=True):
-            at = -1
-            for _ in range(values.count(None)):
-                at = values.index(None, at + 1)
-                holes.append((values, at, keys[at]))
-        self._fetch({hole[2] for hole in holes}, learn)
-        for values, at, key in holes:
-            values[at] = self.young[key]
-        return found
-
-    def _fetch(self, keys: set, learn: Callable[[set], dict]) -> None:
-        unknown = set()
-        for key in keys:
-            if (value := self.old.get(key)) is None:
-                unknown.add(key)
-            else:
-                self.young[key] = value
-        if unknown:
-            self.young.update(learn(unknown))

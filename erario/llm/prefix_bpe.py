@@ -12,23 +12,27 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memory, held, text_or_empty, tidy
+from .common import held, text_or_empty, tidy
 
-ROWS_AT_ONCE = 500
-#: Pieces remembered in each of two generations of two kinds (some 250 bytes each).
+#: Bytes of texts cut and looked up at once, and ids spelt at once; each with the rest of a longer row.
+BYTES_AT_ONCE, IDS_AT_ONCE = 1 << 22, 1 << 19
+#: Stretches, and pieces, that stay remembered when twice as many are (some 40 bytes each).
 CACHED_PIECES = 300_000
+#: Bytes of a stretch or piece up to which it is remembered.
+LONGEST = 64
 NEVER = 1 << 60
 #: White space behind a blank (or the end there) can share a piece with that blank.
-_BLANKS = re.compile(r" (?:\s|\Z)")
+BLANKS = r" (?:[\t-\r\x1c-\x1f\x{85}\pZ]|\z)"
 
 
 class Codec:
@@ -40,7 +44,9 @@ class Codec:
         self.token: list[bytes | None] = [None] * (1 + max(self.rank.values()))
         for t, r in self.rank.items():
             self.token[r] = t
-        self.digits = [str(r) for r in range(len(self.token))]
+        #: The same as one array, and the ids as decimal numbers, each with a blank behind it.
+        self.tokens = pa.array(self.token, pa.large_binary())
+        self.numbers = pa.array([b"%d " % r for r in range(len(self.token))], pa.large_binary())
         #: By the last bytes of a prefix (at most four), the lengths of the tokens that may end it.
         self.lengths: dict[bytes, tuple[int, ...]] = {}
         for t in self.rank:
@@ -55,7 +61,7 @@ class Codec:
         for t, r in sorted(self.rank.items(), key=lambda x: x[1]):
             if len(t) > 1:
                 self.halves[r] = self._halves(t, r)
-        self.plain, self.spaced = Memory(cached), Memory(cached)
+        self.plain, self.spaced = Known(cached), Known(cached)
 
     def _short(self, end: bytes) -> tuple[int, ...]:
         return tuple(n for n in range(len(end), 0, -1) if end[-n:] in self.rank)
@@ -128,10 +134,11 @@ class Codec:
         whole = self.rank.get(piece)
         return [whole] if whole is not None else self._walk(self._last_tokens(piece))
 
-    def _learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn_pieces(self, pieces: list[str]) -> list[bytes]:
         """In byte order, so that each starts from the table of the prefix it shares with the last."""
         before, last, learnt = b"", [], {}
-        for piece in sorted(p.encode() for p in pieces):
+        coded = [p.encode() for p in pieces]
+        for piece in sorted(coded):
             whole = self.rank.get(piece)
             if whole is None:
                 same, most = 0, min(len(piece), len(before))
@@ -139,39 +146,106 @@ class Codec:
                     same += 1
                 before, last = piece, self._last_tokens(piece, known=last[:same])
             ids = self._walk(last) if whole is None else [whole]
-            learnt[piece.decode()] = array("I", ids).tobytes()
-        return learnt
+            learnt[piece] = array("I", ids).tobytes()
+        return list(map(learnt.__getitem__, coded))
 
-    def _learn_words(self, words: set[str]) -> dict[str, bytes]:
+    def _of_pieces(self, rows: list[list[str]]) -> pa.ListArray:
+        """The ids of each row of pieces."""
+        pieces = pa.array(chain.from_iterable(rows), pa.string()).dictionary_encode()
+        ids = self.plain.look_up(pieces.dictionary, self._learn_pieces).take(pieces.indices)
+        return _merged(ids, _ends(list(map(len, rows))))
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
         """Stretches that a blank begins: a word, or a word and what follows up to the next blank."""
-        single = {w for w in words if w.isalpha()}
-        learnt = self._learn_pieces({" " + w for w in single})
-        out = {w: learnt[" " + w] for w in single}
-        rest = list(words - single)
-        parts = self.plain.look_up([self.pieces(" " + w) for w in rest], self._learn_pieces)
-        out.update((w, b"".join(p)) for w, p in zip(rest, parts, strict=True))
-        return out
+        ids = self._of_pieces([[" " + w] if w.isalpha() else self.pieces(" " + w) for w in words])
+        return _bytes(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text.  A blank before a non-blank always begins a
-        piece, so such stretches are looked up whole."""
+        """Little-endian 32-bit ids of each text."""
+        return _bytes(self.encode_column(pa.array(texts, pa.string())))
+
+    def encode_column(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text.  A blank before a non-blank always begins a piece, so texts are cut
+        there and each different stretch is looked up once.  Texts with runs of blanks stay whole."""
         if len(self.fits) > CACHED_PIECES:
             self.fits.clear()
-        pieces, words = [], []
-        for text in texts:
-            first, *rest = [text] if _BLANKS.search(text) else text.split(" ")
-            pieces.append(self.pieces(first))
-            words.append(rest)
-        spaced = self.spaced.look_up(words, self._learn_words)
-        plain = self.plain.look_up(pieces, self._learn_pieces)
-        return [b"".join([*p, *w]) for p, w in zip(plain, spaced, strict=True)]
+        texts = texts.cast(pa.string())
+        runs = pc.match_substring_regex(texts, BLANKS)
+        cut = pc.split_pattern(pc.if_else(runs, "", texts), " ")
+        ends = _ends(pc.list_value_length(cut))
+        first, stretches = ends[:-1], cut.flatten()
+        heads = pc.if_else(runs, texts, stretches.take(pa.array(first))).to_pylist()
+        coded = stretches.dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        place[first] = -1
+        used = np.bincount(place + 1, minlength=len(coded.dictionary) + 1)[1:] > 0
+        words = coded.dictionary.filter(pa.array(used))
+        place = (np.cumsum(used) - 1)[place]
+        place[first] = len(words) + np.arange(len(texts))
+        known = [self.spaced.look_up(words, self._learn_words), self._of_pieces(list(map(self.pieces, heads)))]
+        return _merged(pa.concat_arrays(known).take(pa.array(place)), ends)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def spell(self, ids: Iterable[int]) -> str:
-        """The ids as decimal numbers, joined by a blank."""
-        return " ".join(map(self.digits.__getitem__, ids))
+
+def _ends(sizes) -> np.ndarray:
+    """Where things of these sizes end, one behind the other; a null has none."""
+    if isinstance(sizes, pa.Array):
+        sizes = sizes.fill_null(0)
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _merged(ids: pa.ListArray, ends: np.ndarray) -> pa.ListArray:
+    """The lists between these ends as one list each."""
+    return _lists(_ends(pc.list_value_length(ids))[ends], ids.flatten())
+
+
+def _bytes(ids: pa.ListArray) -> list[bytes]:
+    data, ends = ids.flatten().to_numpy().tobytes(), 4 * _ends(pc.list_value_length(ids))
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _joined(ids: pa.ListArray, words: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.Buffer]:
+    """The words of all ids in one buffer, and where those of each list end in it."""
+    found = words.take(ids.flatten())
+    if found.null_count:
+        raise ValueError("ids outside the vocabulary")
+    ends = _ends(pc.binary_length(found))[_ends(pc.list_value_length(ids))]
+    return ends, found.buffers()[2] or pa.py_buffer(b"")
+
+
+class Known:
+    """Words and their ids as Arrow arrays.  Beyond twice the limit, those last used longest ago go."""
+
+    def __init__(self, limit: int):
+        self.limit, self.turn, self.used = limit, 0, np.zeros(0, np.int64)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def look_up(self, words: pa.StringArray, learn: Callable[[list[str]], list[bytes]]) -> pa.ListArray:
+        """The ids of different words; ``learn`` gives those of unknown ones."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        learnt = learn(new.to_pylist()) if len(new) else []
+        ids = _lists(_ends([len(x) // 4 for x in learnt]), pa.array(np.frombuffer(b"".join(learnt), "<i4")))
+        found = pa.concat_arrays([self.ids, ids]).take(pa.array(place))
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        self.turn += 1
+        self.used[place[place < len(self.words)]] = self.turn
+        self.used = np.concatenate([self.used, np.full(pc.sum(short).as_py() or 0, self.turn)])
+        self.words = pa.concat_arrays([self.words, new.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, ids.filter(short)])
+        if len(self.words) > 2 * self.limit:
+            kept = np.sort(np.argsort(self.used, kind="stable")[-self.limit :])
+            self.words, self.ids = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept))
+            self.used = self.used[kept]
+        return found
 
 
 class Editable:
@@ -231,15 +305,26 @@ def codec(path: str, pattern: str, cached: int = CACHED_PIECES) -> Codec:
     return own[path, pattern, cached]
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    block = _ends(sizes)[1:] // most
+    borders = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        yield batch.slice(a, b - a)
 
 
-def _id_lists(column: pa.ListArray) -> list[list[int]]:
-    ids, ends = column.values.to_numpy().tolist(), column.offsets.to_pylist()
-    return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have BYTES_AT_ONCE, from one batch or several."""
+    some, size = [], 0
+    for batch in batches:
+        for part in _slices(batch, pc.binary_length(batch.column(1)), BYTES_AT_ONCE):
+            more = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if some and size + more > BYTES_AT_ONCE:
+                yield pa.concat_batches(some)
+                some, size = [], 0
+            some.append(part)
+            size += more
+    if some:
+        yield pa.concat_batches(some)
 
 
 def encoding(path: str, pattern: str, cached: int = CACHED_PIECES):
@@ -247,11 +332,9 @@ def encoding(path: str, pattern: str, cached: int = CACHED_PIECES):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, cached)
-        for some in _slices(batches):
-            ids = own.encode(some.column(1).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([some.column(0), lists], names=["doc_id", "ids"])
+        for some in _gathered(batches):
+            ids = own.encode_column(some.column(1))
+            yield pa.RecordBatch.from_arrays([some.column(0), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -261,11 +344,12 @@ def decoding(path: str, pattern: str, cached: int = CACHED_PIECES):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, cached)
-        for some in _slices(batches):
-            texts = [own.decode(ids) for ids in _id_lists(some.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [*some.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"]
-            )
+        for batch in batches:
+            for some in _slices(batch, pc.list_value_length(batch.column(1)), IDS_AT_ONCE):
+                ends, data = _joined(some.column(1), own.tokens)
+                ends = pa.py_buffer(ends.astype(np.int32))
+                texts = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, ends, data])
+                yield pa.RecordBatch.from_arrays([*some.columns, texts], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -291,10 +375,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, cached: int = CACHED_PI
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, cached)
         for some in decoding(path, pattern, cached)(encoding(path, pattern, cached)(batches)):
-            lists = _id_lists(some.column(1))
+            ends, data = _joined(some.column(1), own.numbers)
+            spelt = [data[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array([len(x) for x in lists], pa.int64()),
-                 pa.array([hashlib.sha256(own.spell(x).encode()).hexdigest() for x in lists]),
+                [some.column(0), pc.list_value_length(some.column(1)).cast(pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in spelt]),
                  pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in some.column(2)])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

@@ -8,7 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as tokens
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import tiktoken
 from brute import components_of, kept_lines, odd_documents, repeated_cover, simhash_of, words_of
 from pyspark.sql import functions as F
@@ -128,6 +131,51 @@ def test_prefix_bpe(docs, no_docs):
     assert prefix_bpe.round_trip(no_docs, RANKS, tokens.PATTERN).count() == 0
 
 
+def test_prefix_bpe_blanks_are_the_patterns():
+    space = regex.compile(r"\s").match
+    spaces = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and space(c)]
+    assert "\x85" in spaces and pc.all(pc.match_substring_regex(pa.array([" " + c + "a" for c in spaces]), prefix_bpe.BLANKS)).as_py()
+    found = pc.match_substring_regex(pa.array(["a ", " ", "a b", " a", "\na", ""]), prefix_bpe.BLANKS)
+    assert found.to_pylist() == [True, True, False, False, False, False]
+
+
+def test_prefix_bpe_learns_a_piece_once(monkeypatch):
+    """One encoding of a piece serves all rows of all batches taken at once, alone and before other signs."""
+    own, learnt = prefix_bpe.Codec(RANKS, tokens.PATTERN), []
+    learn = own._learn_pieces
+    monkeypatch.setattr(own, "_learn_pieces", lambda pieces: [learnt.extend(pieces), learn(pieces)][1])
+    monkeypatch.setattr(prefix_bpe, "codec", lambda *_: own)
+    texts = [f"Xyqzv xyqzv{'.,!?'[i % 4]} wvkqj, xyqzv wvkqj" for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    found = list(prefix_bpe.encoding(RANKS, tokens.PATTERN)(iter(batches)))
+    library = reference_encoding()
+    assert [x for b in found for x in b.column(1).to_pylist()] == [library.encode_ordinary(t) for t in texts]
+    assert sorted(learnt) == sorted(["Xyqzv", " xyqzv", " wvkqj", *".,!?"])
+
+
+def test_prefix_bpe_forgets_and_cuts(monkeypatch):
+    """Few remembered pieces, long ones that are not, and parts of a few bytes change no result."""
+    library, rng = reference_encoding(), random.Random(8)
+    own = prefix_bpe.Codec(RANKS, tokens.PATTERN, cached=5)
+    monkeypatch.setattr(prefix_bpe, "codec", lambda *_: own)
+    monkeypatch.setattr(prefix_bpe, "BYTES_AT_ONCE", 90)
+    monkeypatch.setattr(prefix_bpe, "IDS_AT_ONCE", 20)
+    words = ["".join(rng.choice("abcxyzé日") for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["日本語" * 40, "z" * 300, "a,b;" * 30, ""]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, a + 7)), "text": texts[a : a + 7]}) for a in range(0, 294, 7)]
+    found = list(prefix_bpe.decoding(RANKS, tokens.PATTERN)(prefix_bpe.encoding(RANKS, tokens.PATTERN)(iter(batches))))
+    assert [x for b in found for x in b.column(0).to_pylist()] == list(range(294))
+    assert [x for b in found for x in b.column(1).to_pylist()] == [library.encode_ordinary(t) for t in texts[:294]]
+    assert [x.decode() for b in found for x in b.column(2).to_pylist()] == texts[:294]
+    for memory in (own.plain, own.spaced):
+        assert len(memory.words) == len(memory.ids) == len(memory.used) <= 10
+        assert max(map(len, map(str.encode, memory.words.to_pylist()))) <= prefix_bpe.LONGEST
+    assert own.encode([]) == []
+    outside = pa.RecordBatch.from_pydict({"doc_id": [1], "ids": pa.array([[len(own.token)]], pa.list_(pa.int32()))})
+    with pytest.raises((IndexError, ValueError)):
+        list(prefix_bpe.decoding(RANKS, tokens.PATTERN)(iter([outside])))
+
+
 def test_prefix_bpe_random_texts_and_edits():
     library, own, rng = reference_encoding(), prefix_bpe.codec(RANKS, tokens.PATTERN), random.Random(6)
     letters = "ab' \n\t.é日́'st19\x1c\xa0"
